@@ -38,8 +38,8 @@ def price_level(c: str | Column, default: float = 2.0) -> Column:
 
 
 def to_ts(c: str | Column) -> Column:
-    """Tolerant timestamp parse: bad text -> null."""
-    return F.try_to_timestamp(col_of(c))
+    """Tolerant timestamp parse: bad text -> null (TIMESTAMP_NTZ, like the review dates)."""
+    return F.try_to_timestamp(col_of(c)).cast("timestamp_ntz")
 
 
 def elapsed_days(start: str | Column, end: str | Column) -> Column:

@@ -81,9 +81,11 @@ def promote_attributes(business: DataFrame, keys: list[str], attr_col: str = "at
 def impute(business: DataFrame, bool_cols: list[str], price_col: str = "RestaurantsPriceRange2") -> DataFrame:
     """P5 / P9 - missing flags -> False, price -> tolerant number with default 2."""
     out = business
+    types = dict(business.dtypes)
     for c in bool_cols:
-        if c in out.columns:
-            out = out.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit("False")))
+        if c in types:
+            default = F.lit(False) if types[c] == "boolean" else F.lit("False")
+            out = out.withColumn(c, F.coalesce(F.col(c), default))
     if price_col in out.columns:
         out = out.withColumn(price_col, price_level(price_col))
     return out

@@ -5,6 +5,7 @@ import importlib
 
 MODULES = [
     "placerank.plans.catalog_locality",
+    "placerank.plans.catalog_features",
 ]
 
 
