@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placerank.functions.expr import category_tokens, elite_years, price_level, text_to_bool
+from placerank.sources.reference_values import IMPUTED_ATTRIBUTES
 
 
 def local_preference_ratio(reviews_loc: DataFrame) -> DataFrame:
@@ -102,3 +103,18 @@ def business_review_features(reviews_loc: DataFrame, users: DataFrame,
         r = r.join(sentiment.select("review_id", "vader_compound"), "review_id", "left")
         aggs.append(F.avg("vader_compound").alias("avg_sentiment"))
     return r.groupBy("business_id").agg(*aggs)
+
+
+def business_feature_table(business: DataFrame, reviews_loc: DataFrame, users: DataFrame, tips: DataFrame,
+                           checkins: DataFrame, groups: DataFrame, blocked: DataFrame, group_names: list[str],
+                           attribute_keys: list[str], sentiment: DataFrame | None = None) -> DataFrame:
+    """The business feature table: P1 -> P2 -> P3 -> P4 -> P5, plus A17, A18 and the fused
+    review aggregates (A4, A7, A8).  Counts default to 0, ratios stay null when a business
+    has no reviews (as a left join leaves them)."""
+    b = drop_blocked(food_places(business), blocked)
+    b = promote_attributes(group_flags(b, groups, group_names), attribute_keys)
+    b = impute(b, group_names + [k for k in attribute_keys if k in IMPUTED_ATTRIBUTES])
+    return (b.join(tip_counts(tips), "business_id", "left")
+            .join(checkin_counts(checkins), "business_id", "left")
+            .join(business_review_features(reviews_loc, users, sentiment), "business_id", "left")
+            .fillna(0, subset=["num_tips", "num_checkins"]))

@@ -6,6 +6,7 @@ import importlib
 MODULES = [
     "placerank.plans.catalog_locality",
     "placerank.plans.catalog_features",
+    "placerank.plans.catalog_prepare",
 ]
 
 

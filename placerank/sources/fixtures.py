@@ -27,8 +27,16 @@ COMPLIMENT_COLUMNS = [
 COMPLIMENT_MODULI = [7, 3, 4, 5, 6, 8, 9, 11, 13, 10, 12]
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The driver table ``name`` (one DataFrame object per session and path, so repeated
+    reads share one file listing and Spark can reuse the scan inside a plan)."""
+    key = (id(spark), sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _TABLES[key]
 
 
 def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,8 @@ GENERIC_CATEGORIES = ["food", "restaurants"]
 
 # ---- fixed values: business attributes promoted to columns ----
 PROMOTED_ATTRIBUTES = ["BusinessParking", "DogsAllowed", "Open24Hours", "RestaurantsPriceRange2"]
+# promoted attributes whose missing value becomes False (with the ten group flags)
+IMPUTED_ATTRIBUTES = ["DogsAllowed", "Open24Hours"]
 
 # ---- fixed values: hidden-gem score ----
 GEM_WEIGHTS = {"sentiment": 0.30, "volume": 0.25, "local_preference": 0.20, "quality": 0.25}
@@ -70,3 +72,22 @@ METRIC_KS = [5, 10, 20, 30, 50]
 # ---- fixed values: bias baseline (alternating shrunk means) ----
 BASELINE_REG_ITEM = 10.0
 BASELINE_REG_USER = 15.0
+
+# ---- fixed values: model feature columns (names and order) ----
+BUSINESS_NUMERIC = ["latitude", "longitude", "stars", "review_count", "num_tips", "num_checkins",
+                    "RestaurantsPriceRange2", "avg_sentiment", "local_preference_ratio", "elite_user_ratio"]
+BUSINESS_CATEGORICAL = ["city", "state", "is_open", "has_coffee_or_tea", "serves_sweets", "serves_alcohol",
+                        "DogsAllowed", "has_european_food", "has_american", "has_asian_food", "has_seafood",
+                        "has_entertainment", "has_hispanic_food", "has_vegetarian", "Open24Hours"]
+USER_CATEGORICAL = ["base_city", "state_code", "top_category", "elite"]
+USER_NUMERIC = ["review_count", "useful", "funny", "cool", "fans", "average_stars", "compliment_hot",
+                "compliment_more", "compliment_profile", "compliment_cute", "compliment_list", "compliment_note",
+                "compliment_plain", "compliment_cool", "compliment_funny", "compliment_writer", "compliment_photos",
+                "avg_sentiment", "top_category_ratio", "has_american_ratio", "has_asian_food_ratio",
+                "has_hispanic_food_ratio", "has_european_food_ratio", "has_seafood_ratio", "serves_alcohol_ratio",
+                "has_vegetarian_ratio", "has_entertainment_ratio", "has_coffee_or_tea_ratio", "serves_sweets_ratio",
+                "years_elite", "rating_variance", "local_review_ratio", "days_since_last_review",
+                "review_frequency", "avg_price_preference", "num_cities_reviewed"]
+# order of a new user's feature vector
+NEW_USER_VECTOR = USER_NUMERIC[:36] + ["base_city_encoded", "state_code_encoded", "top_category_encoded",
+                                       "elite_encoded", "days_yelping"]
