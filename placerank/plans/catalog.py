@@ -7,6 +7,7 @@ MODULES = [
     "placerank.plans.catalog_locality",
     "placerank.plans.catalog_features",
     "placerank.plans.catalog_prepare",
+    "placerank.plans.catalog_scoring",
 ]
 
 
