@@ -8,6 +8,7 @@ MODULES = [
     "placerank.plans.catalog_features",
     "placerank.plans.catalog_prepare",
     "placerank.plans.catalog_scoring",
+    "placerank.plans.catalog_models",
 ]
 
 
