@@ -51,13 +51,14 @@ def normal_matrix(rows: int, cols: int, seed: int, scale: float = 0.1) -> np.nda
     return np.random.default_rng(seed).normal(0.0, scale, (rows, cols))
 
 
-def ridge_per_key(rows: DataFrame, key: str, dim: int, reg: float, spark_key_type: str = "long") -> DataFrame:
+def ridge_per_key(rows: DataFrame, key: str, dim: int, reg: float) -> DataFrame:
     """Solve ``(Z'Z + reg * n * I) w = Z't`` for every key.
 
     rows: (key, z ARRAY<DOUBLE> of length dim, t DOUBLE).  -> (key, w ARRAY<DOUBLE>, n LONG).
     Keys with more than MAX_GROUP_ROWS rows are split over ceil(n / MAX_GROUP_ROWS) salted
     groups, so no task ever receives an unbounded group.
     """
+    spark_key_type = dict(rows.dtypes)[key]
     n_per_key = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     salted = (rows.join(n_per_key, key)
               .withColumn("_salt", F.pmod(F.xxhash64(F.col("z")),

@@ -32,3 +32,132 @@ def m9_bias_baseline(spark, d):
     tt = train_test(spark, d)
     m = baseline.fit_baseline(tt.filter(F.col("split") == "train"), n_epochs=BASELINE_EPOCHS)
     return round_doubles(baseline.predict_baseline(m, tt.filter(F.col("split") == "test")))
+
+
+# ---- hybrid model (rows-only checks: a different optimiser than the reference) ----
+from placerank.models import als, hybrid  # noqa: E402
+from placerank.operators import metrics, prepare as pr, score  # noqa: E402
+from placerank.plans.catalog_scoring import M3_SQL, fixture_model  # noqa: E402
+from placerank.sources import fixtures as fx  # noqa: E402
+
+HYBRID = hybrid.HybridParams(n_factors=20, n_epochs=5, reg=0.02, alpha=1e-3, beta=1e-3, seed=23)
+USER_SIDE = ["fans", "compliment_hot", "average_stars", "review_count"]
+ITEM_SIDE = ["latitude", "longitude", "stars", "review_count"]
+
+
+def side_features(spark, d):
+    u = fx.users(spark, d).select("user_id", *[F.col(c).cast("double").alias(c) for c in USER_SIDE])
+    u = pr.standardize(u, USER_SIDE)
+    b = fx.business(spark, d).select("business_id", *[F.col(c).cast("double").alias(c) for c in ITEM_SIDE])
+    b = pr.standardize(b, ITEM_SIDE)
+    uf = u.select("user_id", F.array(*USER_SIDE).alias("features"))
+    bf = b.select("business_id", F.array(*ITEM_SIDE).alias("features"))
+    return uf, bf
+
+
+def fit_fixture_hybrid(spark, d, params=HYBRID):
+    tt = train_test(spark, d)
+    uf, bf = side_features(spark, d)
+    return tt, hybrid.fit_hybrid(tt.filter(F.col("split") == "train"), params, uf, bf)
+
+
+@query("m1_hybrid_test_metrics")
+def m1_hybrid_test_metrics(spark, d):
+    tt, m = fit_fixture_hybrid(spark, d)
+    preds = score.predict_test(m.factor_model(), tt.filter(F.col("split") == "test"))
+    return round_doubles(metrics.evaluate(preds))
+
+
+@query("m2_hybrid_history")
+def m2_hybrid_history(spark, d):
+    _, m = fit_fixture_hybrid(spark, d)
+    return m.history_frame(spark)
+
+
+@query("m10_biased_mf_test_metrics")
+def m10_biased_mf_test_metrics(spark, d):
+    tt = train_test(spark, d)
+    fitted = als.fit_biased_mf(tt.filter(F.col("split") == "train"), rank=50, max_iter=20, reg=0.02, seed=23,
+                               baseline_epochs=BASELINE_EPOCHS)
+    return round_doubles(metrics.evaluate(als.predict_biased_mf(fitted, tt.filter(F.col("split") == "test"))))
+
+
+@query("m12_nmf_test_metrics")
+def m12_nmf_test_metrics(spark, d):
+    tt = train_test(spark, d)
+    fitted = als.fit_nmf(tt.filter(F.col("split") == "train"), rank=50, max_iter=50, seed=23)
+    return round_doubles(metrics.evaluate(als.predict_nmf(fitted, tt.filter(F.col("split") == "test"))))
+
+
+# ---- model comparison over the SQL-expressible models (exact oracle) ----
+def _compare_predictions(spark, d):
+    tt = train_test(spark, d)
+    test = tt.filter(F.col("split") == "test")
+    base = baseline.fit_baseline(tt.filter(F.col("split") == "train"), n_epochs=BASELINE_EPOCHS)
+    p1 = baseline.predict_baseline(base, test).withColumn("model", F.lit("Baseline"))
+    p2 = score.predict_test(fixture_model(spark, d), test).withColumn("model", F.lit("Fixed factors"))
+    return p1.unionByName(p2)
+
+
+def model_metrics(preds):
+    """M14 - (model, metric, value) for a union of prediction tables keyed by model."""
+    out = None
+    for name in [r["model"] for r in preds.select("model").distinct().collect()]:   # a handful of models
+        m = metrics.evaluate(preds.filter(F.col("model") == name)).withColumn("model", F.lit(name))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+KS = [5, 10, 20, 30, 50]
+
+
+def _per_user_ctes(src: str) -> str:
+    """Ranking CTEs for one prediction table (same rules as metrics.precision_recall_at_k)."""
+    cols = ", ".join(f"count(CASE WHEN rn <= {k} AND predicted_rating >= 3.5 THEN 1 END) AS rec{k}, "
+                     f"count(CASE WHEN rn <= {k} AND predicted_rating >= 3.5 AND actual_rating >= 3.5 THEN 1 END)"
+                     f" AS hit{k}" for k in KS)
+    return f"""rk_{src} AS (SELECT *, row_number() OVER (PARTITION BY user_id
+            ORDER BY predicted_rating DESC, business_id, actual_rating) AS rn FROM {src}),
+    pu_{src} AS (SELECT user_id, {cols}, count(CASE WHEN actual_rating >= 3.5 THEN 1 END) AS n_rel
+        FROM rk_{src} GROUP BY user_id)"""
+
+
+def _metric_selects(name: str, src: str) -> list[str]:
+    out = [f"SELECT '{name}' AS model, 'RMSE' AS metric, sqrt(avg(pow(actual_rating - predicted_rating, 2))) AS value"
+           f" FROM {src}",
+           f"SELECT '{name}', 'MAE', avg(abs(actual_rating - predicted_rating)) FROM {src}"]
+    for k in KS:
+        out.append(f"SELECT '{name}', 'Precision@{k}', avg(CASE WHEN rec{k} > 0 THEN hit{k} / rec{k} ELSE 0.0 END)"
+                   f" FROM pu_{src}")
+        out.append(f"SELECT '{name}', 'Recall@{k}', avg(CASE WHEN n_rel > 0 THEN hit{k} / n_rel ELSE 0.0 END)"
+                   f" FROM pu_{src}")
+    return out
+
+
+def _cmp_full_sql():
+    base = f"""SELECT s.user_id, s.business_id, CAST(s.stars AS DOUBLE) AS actual_rating,
+        least(greatest((SELECT mu FROM mu) + coalesce(u.bu, 0.0) + coalesce(i.bi, 0.0), 1.0), 5.0) AS predicted_rating
+        FROM split s LEFT JOIN bu{BASELINE_EPOCHS} u ON s.user_id = u.user_id
+        LEFT JOIN bi{BASELINE_EPOCHS} i ON s.business_id = i.business_id WHERE s.split = 'test'"""
+    extra = (MODEL + ",\n    " + _baseline_sql(BASELINE_EPOCHS) + f",\n    pb AS ({base}),\n    pf AS ({M3_SQL}),\n    "
+             + _per_user_ctes("pb") + ",\n    " + _per_user_ctes("pf"))
+    selects = _metric_selects("Baseline", "pb") + _metric_selects("Fixed factors", "pf")
+    return ctes("reviews", extra=extra), "\n    UNION ALL ".join(selects)
+
+
+_CMP_CTES, _CMP_UNION = _cmp_full_sql()
+
+
+@query("m14_compare_models", sql_round(_CMP_CTES + _CMP_UNION, ["value"]))
+def m14_compare_models(spark, d):
+    return round_doubles(model_metrics(_compare_predictions(spark, d)))
+
+
+@query("a31_best_model_per_metric", sql_round(_CMP_CTES + f""", mm AS ({_CMP_UNION}),
+    keyed AS (SELECT *, CASE WHEN metric IN ('RMSE', 'MAE') THEN value ELSE -value END AS key FROM mm)
+    SELECT metric, model AS best_model, value AS best_value FROM (
+        SELECT *, row_number() OVER (PARTITION BY metric ORDER BY key, model) AS rn FROM keyed) WHERE rn = 1""",
+    ["best_value"]))
+def a31_best_model_per_metric(spark, d):
+    mm = model_metrics(_compare_predictions(spark, d))
+    return round_doubles(metrics.compare_models(mm))
