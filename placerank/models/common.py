@@ -28,9 +28,15 @@ MAX_GROUP_ROWS = 200_000
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back (cuts lineage)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a parquet table under the reliable checkpoint folder (the shared
+    ``spark.checkpoint.dir`` on a cluster) and read it back: cuts the lineage of iterative
+    jobs, computes the input once, and survives executor loss."""
+    import uuid
+
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/placerank-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _uniform(id_col: Column, comp: int, seed: int, salt: int) -> Column:
@@ -51,44 +57,100 @@ def normal_matrix(rows: int, cols: int, seed: int, scale: float = 0.1) -> np.nda
     return np.random.default_rng(seed).normal(0.0, scale, (rows, cols))
 
 
-def ridge_per_key(rows: DataFrame, key: str, dim: int, reg: float) -> DataFrame:
+def _solve_batch(G: np.ndarray, H: np.ndarray, n: np.ndarray, reg: float) -> np.ndarray:
+    dim = G.shape[-1]
+    A = G + (reg * n.astype(np.float64))[:, None, None] * np.eye(dim)[None, :, :]
+    return np.linalg.solve(A, H[:, :, None])[:, :, 0]
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """Keys with more than MAX_GROUP_ROWS rows and their salt count -> (key, _s).
+
+    At most (rows / MAX_GROUP_ROWS) keys can qualify, so the table has a proven size bound
+    and is always broadcast."""
+    return (rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") > MAX_GROUP_ROWS)
+            .select(key, F.ceil(F.col("_n") / F.lit(MAX_GROUP_ROWS)).cast("long").alias("_s")))
+
+
+def ridge_per_key(rows: DataFrame, key: str, dim: int, reg: float, hot: DataFrame | None = None) -> DataFrame:
     """Solve ``(Z'Z + reg * n * I) w = Z't`` for every key.
 
     rows: (key, z ARRAY<DOUBLE> of length dim, t DOUBLE).  -> (key, w ARRAY<DOUBLE>, n LONG).
-    Keys with more than MAX_GROUP_ROWS rows are split over ceil(n / MAX_GROUP_ROWS) salted
-    groups, so no task ever receives an unbounded group.
+
+    One shuffle of the rows by (key, salt); a key with more than MAX_GROUP_ROWS rows is
+    spread over ceil(n / MAX_GROUP_ROWS) salts, so no task holds an unbounded group.
+    Each task walks its sorted rows once, forms the Gram matrix of every (key, salt) run
+    with numpy, and solves unsalted keys on the spot; only the partial Gram matrices of
+    salted (hot) keys go through a second, partially aggregated ``Summarizer.sum``.
     """
-    spark_key_type = dict(rows.dtypes)[key]
-    n_per_key = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    salted = (rows.join(n_per_key, key)
-              .withColumn("_salt", F.pmod(F.xxhash64(F.col("z")),
-                                          F.ceil(F.col("_n") / F.lit(MAX_GROUP_ROWS)).cast("long")))
-              .select(key, "_salt", "z", "t"))
-
-    def gram(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = np.vstack(pdf["z"].to_numpy()).astype(np.float64)
-        t = pdf["t"].to_numpy(dtype=np.float64)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "g": [(z.T @ z).ravel()], "h": [z.T @ t],
-                             "n": [len(pdf)]})
-
-    partial = salted.groupBy(key, "_salt").applyInPandas(
-        gram, f"{key} {spark_key_type}, g array<double>, h array<double>, n long")
-    summed = (partial.select(key, array_to_vector("g").alias("g"), array_to_vector("h").alias("h"), "n")
-              .groupBy(key).agg(Summarizer.sum(F.col("g")).alias("g"), Summarizer.sum(F.col("h")).alias("h"),
-                                F.sum("n").alias("n"))
-              .select(key, vector_to_array("g").alias("g"), vector_to_array("h").alias("h"), "n"))
+    key_type = dict(rows.dtypes)[key]
+    hot = hot_keys(rows, key) if hot is None else hot
+    parts = (rows.join(F.broadcast(hot), key, "left")
+             .withColumn("_s", F.coalesce(F.col("_s"), F.lit(1).cast("long")))
+             .withColumn("_salt", F.pmod(F.xxhash64(F.col("z")), F.col("_s")))
+             .select(key, "_salt", "_s", "z", "t")
+             .repartition(key, "_salt").sortWithinPartitions(key, "_salt"))
+
+    def emit(runs):
+        keys = [r[0] for r in runs]
+        final = np.array([r[2] == 1 for r in runs])
+        G = np.stack([r[3] for r in runs])
+        H = np.stack([r[4] for r in runs])
+        n = np.array([r[5] for r in runs], dtype=np.int64)
+        w = [None] * len(runs)
+        if final.any():
+            solved = _solve_batch(G[final], H[final], n[final], reg)
+            for j, idx in enumerate(np.nonzero(final)[0]):
+                w[idx] = solved[j]
+        return pd.DataFrame({key: keys, "w": w,
+                             "g": [None if f else g.ravel() for f, g in zip(final, G)],
+                             "h": [None if f else h for f, h in zip(final, H)],
+                             "n": n, "final": final})
+
+    def gram_runs(batches):
+        carry = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys = pdf[key].to_numpy()
+            salts = pdf["_salt"].to_numpy()
+            ss = pdf["_s"].to_numpy()
+            Z = np.stack(pdf["z"].to_numpy()).astype(np.float64)
+            T = pdf["t"].to_numpy(dtype=np.float64)
+            cut = np.nonzero((keys[1:] != keys[:-1]) | (salts[1:] != salts[:-1]))[0] + 1
+            done = []
+            for a, b in zip(np.r_[0, cut], np.r_[cut, len(pdf)]):
+                Zr = Z[a:b]
+                G, h = Zr.T @ Zr, Zr.T @ T[a:b]
+                if carry is not None and carry[0] == keys[a] and carry[1] == salts[a]:
+                    carry = (carry[0], carry[1], carry[2], carry[3] + G, carry[4] + h, carry[5] + (b - a))
+                else:
+                    if carry is not None:
+                        done.append(carry)
+                    carry = (keys[a], salts[a], int(ss[a]), G, h, b - a)
+            if done:
+                yield emit(done)
+        if carry is not None:
+            yield emit([carry])
+
+    out = parts.mapInPandas(gram_runs, f"{key} {key_type}, w array<double>, g array<double>, h array<double>, "
+                                       "n long, final boolean")
+    finals = out.filter(F.col("final")).select(key, "w", "n")
 
     @F.pandas_udf("array<double>")
     def solve(g: pd.Series, h: pd.Series, n: pd.Series) -> pd.Series:
         if len(g) == 0:
             return pd.Series([], dtype=object)
         G = np.stack(g.to_numpy()).reshape(-1, dim, dim)
-        H = np.stack(h.to_numpy())
-        G = G + (reg * n.to_numpy(dtype=np.float64))[:, None, None] * np.eye(dim)[None, :, :]
-        W = np.linalg.solve(G, H[:, :, None])[:, :, 0]
-        return pd.Series(list(W))
-
-    return summed.select(key, solve("g", "h", "n").alias("w"), "n")
+        return pd.Series(list(_solve_batch(G, np.stack(h.to_numpy()), n.to_numpy(), reg)))
+
+    hot = (out.filter(~F.col("final"))
+           .select(key, array_to_vector("g").alias("g"), array_to_vector("h").alias("h"), "n")
+           .groupBy(key).agg(Summarizer.sum(F.col("g")).alias("g"), Summarizer.sum(F.col("h")).alias("h"),
+                             F.sum("n").alias("n"))
+           .select(key, solve(vector_to_array("g"), vector_to_array("h"), F.col("n")).alias("w"), "n"))
+    return finals.unionByName(hot)
 
 
 def matvec(x: Column, mat: np.ndarray) -> Column:
