@@ -91,3 +91,34 @@ USER_NUMERIC = ["review_count", "useful", "funny", "cool", "fans", "average_star
 # order of a new user's feature vector
 NEW_USER_VECTOR = USER_NUMERIC[:36] + ["base_city_encoded", "state_code_encoded", "top_category_encoded",
                                        "elite_encoded", "days_yelping"]
+
+# ---- fixed values: rule-based sentiment (constants of the published VADER method) ----
+SENT_NEGATION_SCALAR = -0.74
+SENT_BOOST_INCREMENT = 0.293
+SENT_BOOST_DECAY = [1.0, 0.95, 0.9]      # booster 1, 2 or 3 words before the scored word
+SENT_BUT_BEFORE, SENT_BUT_AFTER = 0.5, 1.5
+SENT_EXCLAMATION_STEP, SENT_EXCLAMATION_MAX = 0.292, 4
+SENT_QUESTION_STEP, SENT_QUESTION_MAX = 0.18, 0.96
+SENT_NORMALIZATION_ALPHA = 15.0
+NEGATION_WORDS = [
+    "aint", "arent", "cannot", "cant", "couldnt", "darent", "didnt", "doesnt", "ain't", "aren't", "can't",
+    "couldn't", "daren't", "didn't", "doesn't", "dont", "hadnt", "hasnt", "havent", "isnt", "mightnt", "mustnt",
+    "neither", "don't", "hadn't", "hasn't", "haven't", "isn't", "mightn't", "mustn't", "neednt", "needn't",
+    "never", "none", "nope", "nor", "not", "nothing", "nowhere", "oughtnt", "shant", "shouldnt", "uhuh",
+    "wasnt", "werent", "oughtn't", "shan't", "shouldn't", "uh-uh", "wasn't", "weren't", "without", "wont",
+    "wouldnt", "won't", "wouldn't", "rarely", "seldom", "despite",
+]
+BOOSTER_UP = [
+    "absolutely", "amazingly", "awfully", "completely", "considerable", "considerably", "decidedly", "deeply",
+    "effing", "enormous", "enormously", "entirely", "especially", "exceptional", "exceptionally", "extreme",
+    "extremely", "fabulously", "flipping", "flippin", "frackin", "fracking", "fricking", "frickin", "frigging",
+    "friggin", "fully", "fuckin", "fucking", "fuggin", "fugging", "greatly", "hella", "highly", "hugely",
+    "incredible", "incredibly", "intensely", "major", "majorly", "more", "most", "particularly", "purely",
+    "quite", "really", "remarkably", "so", "substantially", "thoroughly", "total", "totally", "tremendous",
+    "tremendously", "uber", "unbelievably", "unusually", "utter", "utterly", "very",
+]
+BOOSTER_DOWN = [
+    "almost", "barely", "hardly", "kind of", "kinda", "kindof", "kind-of", "less", "little", "marginal",
+    "marginally", "occasional", "occasionally", "partly", "scarce", "scarcely", "slight", "slightly", "somewhat",
+    "sort of", "sorta", "sortof", "sort-of",
+]
