@@ -10,6 +10,7 @@ MODULES = [
     "placerank.plans.catalog_scoring",
     "placerank.plans.catalog_models",
     "placerank.plans.catalog_text",
+    "placerank.plans.catalog_misc",
 ]
 
 

@@ -161,3 +161,25 @@ def m14_compare_models(spark, d):
 def a31_best_model_per_metric(spark, d):
     mm = model_metrics(_compare_predictions(spark, d))
     return round_doubles(metrics.compare_models(mm))
+
+
+# ---- grid search over the reference's alpha x beta grid (rows-only) ----
+GRID_ALPHAS, GRID_BETAS = [0.001, 0.01, 0.1], [0.003, 0.01]
+GRID_BASE = hybrid.HybridParams(n_factors=8, n_epochs=1, reg=0.02, seed=23)
+
+
+def _grid(spark, d):
+    tt = train_test(spark, d)
+    uf, bf = side_features(spark, d)
+    return hybrid.grid_search(tt.filter(F.col("split") == "train"), tt.filter(F.col("split") == "test"),
+                              GRID_BASE, GRID_ALPHAS, GRID_BETAS, uf, bf)
+
+
+@query("m8_grid_search")
+def m8_grid_search(spark, d):
+    return round_doubles(_grid(spark, d))
+
+
+@query("a30_grid_pivot")
+def a30_grid_pivot(spark, d):
+    return round_doubles(metrics.grid_pivot(_grid(spark, d)))
