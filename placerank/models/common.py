@@ -153,10 +153,18 @@ def ridge_per_key(rows: DataFrame, key: str, dim: int, reg: float, hot: DataFram
     return finals.unionByName(hot)
 
 
+# matrices up to this many entries are applied as a JVM expression (no Python worker)
+JVM_MATVEC_MAX_TERMS = 512
+
+
 def matvec(x: Column, mat: np.ndarray) -> Column:
-    """``x @ mat`` for a small fixed matrix (Arrow-batched numpy product; the matrix, at most
-    features x factors, travels in the closure)."""
+    """``x @ mat`` for a small fixed matrix: a JVM array expression when it is tiny, else an
+    Arrow-batched numpy product (the matrix, features x factors, travels in the closure)."""
     m = np.asarray(mat, dtype=np.float64)
+    rows, cols = m.shape
+    if rows * cols <= JVM_MATVEC_MAX_TERMS:
+        return F.array(*[sum((x[r] * F.lit(float(m[r, c])) for r in range(rows)), F.lit(0.0))
+                         for c in range(cols)])
 
     @F.pandas_udf("array<double>")
     def mv(xs: pd.Series) -> pd.Series:
