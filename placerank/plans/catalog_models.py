@@ -183,3 +183,16 @@ def m8_grid_search(spark, d):
 @query("a30_grid_pivot")
 def a30_grid_pivot(spark, d):
     return round_doubles(metrics.grid_pivot(_grid(spark, d)))
+
+
+# ---- SVD++ (rows-only) ----
+from placerank.models import svdpp  # noqa: E402
+
+SVDPP = svdpp.SvdppParams(n_factors=20, n_epochs=5, reg=0.02, seed=23)
+
+
+@query("m11_svdpp_test_metrics")
+def m11_svdpp_test_metrics(spark, d):
+    tt = train_test(spark, d)
+    m = svdpp.fit_svdpp(tt.filter(F.col("split") == "train"), SVDPP)
+    return round_doubles(metrics.evaluate(svdpp.predict_svdpp(m, tt.filter(F.col("split") == "test"))))

@@ -91,3 +91,13 @@ def test_hybrid_with_features_runs_and_round_trips(spark, tmp_path):
     a = score.score_pairs(m.factor_model(), pairs).orderBy("user_id", "business_id").toPandas()
     b = score.score_pairs(m2.factor_model(), pairs).orderBy("user_id", "business_id").toPandas()
     assert np.allclose(a.predicted_rating, b.predicted_rating)
+
+
+def test_svdpp_training_error_falls(spark):
+    from placerank.models import svdpp
+    r = _planted(spark, 40, 30)
+    m = svdpp.fit_svdpp(r, svdpp.SvdppParams(n_factors=2, n_epochs=3, reg=0.01, seed=2))
+    hist = [h[1] for h in m.history]
+    assert hist[-1] < hist[0] and all(np.isfinite(hist))
+    preds = svdpp.predict_svdpp(m, r).toPandas()
+    assert preds.predicted_rating.between(1, 5).all()
