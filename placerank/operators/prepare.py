@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placerank.functions.expr import elapsed_days, to_ts
+from placerank.models.common import materialize
 
 
 # ---------------------------------------------------------------- A20-A22
@@ -90,7 +91,7 @@ def label_encode(df: DataFrame, cols: list[str], suffix: str = "", null_code: in
         by_type.setdefault(types[c], []).append(c)
     out = df
     for group in by_type.values():
-        codes = dense_codes(df, group)
+        codes = materialize(dense_codes(df, group))   # small (distinct values); read once per column
         for c in group:
             look = codes.filter(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
             out = (out.join(look, out[c].eqNullSafe(look["_v"]), "left")
@@ -119,8 +120,8 @@ def prepare_business_features(business: DataFrame, reviews: DataFrame, numeric:
     num, cat = available(business, numeric), available(business, categorical)
     b = (business.join(reviews.select("business_id"), "business_id", "left_semi")
          .select("business_id", *[F.col(c).cast("double").alias(c) for c in num], *cat)
-         .fillna(0.0, subset=num)
-         .checkpoint())  # statistics and codes below read it several times
+         .fillna(0.0, subset=num))
+    b = materialize(b)   # statistics and codes below read it several times
     return label_encode(standardize(b, num), cat)
 
 
@@ -134,8 +135,8 @@ def prepare_user_features(user_feats: DataFrame, reviews: DataFrame, numeric: li
         u = account_age_days(u)
     extra = ["days_yelping"] if "days_yelping" in u.columns else []
     u = (u.select("user_id", *[F.col(c).cast("double").alias(c) for c in num + extra], *cat)
-         .fillna(0.0, subset=num + extra)
-         .checkpoint())  # statistics and codes below read it several times
+         .fillna(0.0, subset=num + extra))
+    u = materialize(u)   # statistics and codes below read it several times
     u = standardize(u, num + extra)
     return label_encode(u, cat, suffix="_encoded").drop(*cat)
 
