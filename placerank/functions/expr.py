@@ -87,3 +87,11 @@ def null_safe_eq(a: str | Column, b: str | Column) -> Column:
 def fill_zero(c: str | Column) -> Column:
     c = col_of(c)
     return F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
+
+
+def bounded_broadcast(df, max_rows: int = 100_000):
+    """Broadcast hint for a small input table only after a count proves it has at most
+    ``max_rows`` rows; a larger table is left to the planner (shuffle join)."""
+    from pyspark.sql import functions as _F
+    n = df.limit(max_rows + 1).count()
+    return _F.broadcast(df) if n <= max_rows else df

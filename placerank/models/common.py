@@ -182,10 +182,3 @@ def add_arrays(a: Column, b: Column, scale_b: float = 1.0) -> Column:
 
 def scale_array(a: Column, s: float) -> Column:
     return F.transform(a, lambda x: x * F.lit(s))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only when the row count is proven below ``max_rows`` (one count job);
-    otherwise the planner keeps a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placerank.functions.expr import category_tokens, elite_years, price_level, text_to_bool
+from placerank.functions.expr import bounded_broadcast, category_tokens, elite_years, price_level, text_to_bool
 from placerank.sources.reference_values import IMPUTED_ATTRIBUTES
 
 
@@ -52,10 +52,11 @@ def food_places(business: DataFrame) -> DataFrame:
 def drop_blocked(business: DataFrame, blocked: DataFrame) -> DataFrame:
     """P2 - drop a business when any of its category tokens is in the ``blocked`` table.
 
-    The blocklist is a small fixed-size dimension (tens of rows) and is broadcast.
+    The blocklist is a small input table (tens of rows); it is broadcast once its size is checked.
     """
     toks = (business.select("business_id", F.explode(category_tokens("categories")).alias("category"))
-            .join(F.broadcast(blocked.select(F.lower("category").alias("category"))), "category", "left_semi")
+            .join(bounded_broadcast(blocked.select(F.lower("category").alias("category"))), "category",
+                  "left_semi")
             .select("business_id").distinct())
     return business.join(toks, "business_id", "left_anti")
 
@@ -63,11 +64,11 @@ def drop_blocked(business: DataFrame, blocked: DataFrame) -> DataFrame:
 def group_flags(business: DataFrame, groups: DataFrame, names: list[str]) -> DataFrame:
     """P3 - one column per category group: True when any token is in the group, else null.
 
-    ``groups(group, category)`` is a small fixed-size table (broadcast); the flags come from
+    ``groups(group, category)`` is a small input table (broadcast after a size check); the flags come from
     one exploded join + pivot on the known group names.
     """
     toks = business.select("business_id", F.explode(category_tokens("categories")).alias("category"))
-    hits = (toks.join(F.broadcast(groups.select("group", F.lower("category").alias("category"))), "category")
+    hits = (toks.join(bounded_broadcast(groups.select("group", F.lower("category").alias("category"))), "category")
             .groupBy("business_id").pivot("group", names).agg(F.lit(True)))
     hits = hits.select("business_id", *[F.when(F.col(n).isNotNull(), F.lit(True)).alias(n) for n in names])
     return business.join(hits, "business_id", "left")

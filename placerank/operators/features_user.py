@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placerank.functions.expr import category_tokens, elapsed_days, elite_years, price_level
+from placerank.functions.expr import bounded_broadcast, category_tokens, elapsed_days, elite_years, price_level
 from placerank.sources.reference_values import GENERIC_CATEGORIES
 
 
@@ -29,11 +29,12 @@ def user_category_counts(reviews: DataFrame, business: DataFrame,
 def user_group_ratios(counts: DataFrame, groups: DataFrame, names: list[str]) -> DataFrame:
     """A10 - per user and group: mentions of the group's categories / all mentions.
 
-    ``groups(group, category)`` is a small fixed table (broadcast); a category listed twice
+    ``groups(group, category)`` is a small input table (broadcast after a size check); a category listed twice
     in a group counts twice, as in the reference.  -> (user_id, <group>_ratio ...).
     """
     totals = counts.groupBy("user_id").agg(F.sum("n").alias("_total"))
-    per_group = (counts.join(F.broadcast(groups.select("group", F.lower("category").alias("category"))), "category")
+    per_group = (counts.join(bounded_broadcast(groups.select("group", F.lower("category").alias("category"))),
+                             "category")
                  .groupBy("user_id").pivot("group", names).agg(F.sum("n")))
     return (totals.join(per_group, "user_id", "left")
             .select("user_id", *[(F.coalesce(F.col(n), F.lit(0)) / F.col("_total")).alias(f"{n}_ratio")
