@@ -157,14 +157,19 @@ def ridge_per_key(rows: DataFrame, key: str, dim: int, reg: float, hot: DataFram
 JVM_MATVEC_MAX_TERMS = 512
 
 
-def matvec(x: Column, mat: np.ndarray) -> Column:
+def matvec(x: Column | str, mat: np.ndarray) -> Column:
     """``x @ mat`` for a small fixed matrix: a JVM array expression when it is tiny, else an
     Arrow-batched numpy product (the matrix, features x factors, travels in the closure)."""
     m = np.asarray(mat, dtype=np.float64)
     rows, cols = m.shape
     if rows * cols <= JVM_MATVEC_MAX_TERMS:
+        if isinstance(x, str):   # one SQL string: far fewer driver round trips than Column objects
+            terms = [" + ".join(f"`{x}`[{r}] * CAST({float(m[r, c])!r} AS DOUBLE)" for r in range(rows))
+                     for c in range(cols)]
+            return F.expr("array(" + ", ".join(f"({t})" for t in terms) + ")")
         return F.array(*[sum((x[r] * F.lit(float(m[r, c])) for r in range(rows)), F.lit(0.0))
                          for c in range(cols)])
+    x = F.col(x) if isinstance(x, str) else x
 
     @F.pandas_udf("array<double>")
     def mv(xs: pd.Series) -> pd.Series:
