@@ -220,10 +220,13 @@ def _w(l, j):
 
 
 def project(x_col: str, alpha: float) -> F.Column:
-    """x . W (fixed fixture W, f x K) scaled by alpha, as a K-array (JVM expression)."""
+    """x . W (fixed fixture W, f x K) scaled by alpha, as a K-array (one JVM expression)."""
+    import numpy as np
+
+    from placerank.models.common import matvec
     f = len(NEW_USER_VECTOR)
-    return F.array(*[sum((F.col(x_col)[l] * F.lit(_w(l, j)) for l in range(f)), F.lit(0.0)) * F.lit(alpha)
-                     for j in range(K)])
+    w = np.array([[_w(l, j) for j in range(K)] for l in range(f)])
+    return F.transform(matvec(x_col, w), lambda v: v * F.lit(alpha))
 
 
 def cold_users(spark, d):
