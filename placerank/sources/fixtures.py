@@ -33,7 +33,7 @@ _TABLES: dict[tuple, DataFrame] = {}
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The driver table ``name`` (one DataFrame object per session and path, so repeated
     reads share one file listing and Spark can reuse the scan inside a plan)."""
-    key = (id(spark), sf_dir, name)
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
     if key not in _TABLES:
         _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return _TABLES[key]
