@@ -273,3 +273,13 @@ def m7_score_new_user_pairs(spark, d):
     nu = cold_users(spark, d).select("user_id", project("features", 1.0).alias("uvec"), F.lit(0.0).alias("bias"))
     pairs = fx.reviews(spark, d).select("user_id", "business_id").join(nu.select("user_id"), "user_id", "left_semi")
     return round_doubles(score.score_pairs(score.FactorModel(m.mu, nu, m.items), pairs))
+
+
+@query("a29_prediction_histogram", sql_round(ctes("reviews", extra=PRED) + """, e AS (
+        SELECT predicted_rating AS x FROM preds),
+    st AS (SELECT min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / 50.0 AS w FROM e)
+    SELECT bin, any_value(lo) + bin * any_value(w) AS lo, any_value(lo) + (bin + 1) * any_value(w) AS hi,
+        count(*) AS n FROM (SELECT CAST(CASE WHEN w > 0 THEN least(floor((x - lo) / w), 49) ELSE 0 END AS INTEGER)
+            AS bin, lo, w FROM e, st) GROUP BY bin""", ["lo", "hi"]))
+def a29_prediction_histogram(spark, d):
+    return round_doubles(metrics.histogram(synthetic_predictions(spark, d), "predicted_rating", 50))
