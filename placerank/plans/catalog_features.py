@@ -76,7 +76,8 @@ def p5_impute(spark, d):
 
 
 @query("p8_elite_years", ctes("users") + """SELECT user_id, elite,
-    CASE WHEN length(elite) > 0 THEN len(string_split(elite, ',')) ELSE 0 END AS years_elite FROM users""")
+    CAST(CASE WHEN length(elite) > 0 THEN len(string_split(elite, ',')) ELSE 0 END AS INTEGER) AS years_elite
+    FROM users""")
 def p8_elite_years(spark, d):
     return fx.users(spark, d).select("user_id", "elite", elite_years("elite").alias("years_elite"))
 

@@ -173,9 +173,9 @@ ACTIVITY_COLS = ["avg_stars", "min_lat", "max_lat", "min_lon", "max_lon", "home_
     temporal AS (SELECT user_id, avg(dayofweek(date) + 1) AS avg_review_dayofweek,
         stddev_samp(month(date)) AS seasonal_variation FROM reviews GROUP BY user_id),
     social AS (SELECT user_id,
-        CASE WHEN friends IS NULL OR friends IN ('None', '') THEN 0 ELSE len(string_split(friends, ',')) END
-            AS num_friends,
-        CASE WHEN length(elite) > 0 THEN len(string_split(elite, ',')) ELSE 0 END AS elite_years,
+        CAST(CASE WHEN friends IS NULL OR friends IN ('None', '') THEN 0 ELSE len(string_split(friends, ',')) END
+            AS INTEGER) AS num_friends,
+        CAST(CASE WHEN length(elite) > 0 THEN len(string_split(elite, ',')) ELSE 0 END AS INTEGER) AS elite_years,
         compliment_hot, compliment_cool, compliment_funny, fans AS num_fans FROM users),
     j AS (SELECT s.user_id, s.num_reviews, s.avg_stars, s.latest_review_date, s.first_review_date,
         coalesce(g.unique_cities, 0) AS unique_cities, coalesce(g.reviews_with_location, 0) AS reviews_with_location,

@@ -108,8 +108,8 @@ BF = f"""bf0 AS (SELECT * FROM business
         WHERE categories IS NOT NULL AND (lower(categories) LIKE '%food%' OR lower(categories) LIKE '%restaurant%')
           AND NOT coalesce(list_has_any({TOKENS}, (SELECT list(category) FROM blocked_categories)), false)),
     tipc AS (SELECT business_id, count(*) AS num_tips FROM tips GROUP BY business_id),
-    chk AS (SELECT business_id, sum(CASE WHEN length(date) > 0 THEN len(string_split(date, ',')) ELSE 0 END)
-        AS num_checkins FROM checkins GROUP BY business_id),
+    chk AS (SELECT business_id, CAST(sum(CASE WHEN length(date) > 0 THEN len(string_split(date, ',')) ELSE 0 END)
+        AS BIGINT) AS num_checkins FROM checkins GROUP BY business_id),
     elite_u AS (SELECT user_id FROM users
         WHERE (CASE WHEN length(elite) > 0 THEN len(string_split(elite, ',')) ELSE 0 END) > 0),
     brf AS (SELECT l.business_id, avg(CASE WHEN l.is_local THEN 1.0 ELSE 0.0 END) AS local_preference_ratio,
@@ -180,7 +180,7 @@ UF = f"""{UCC},
         count(DISTINCT l.business_city) AS num_cities_reviewed
         FROM loc l LEFT JOIN business b ON l.business_id = b.business_id GROUP BY l.user_id),
     uf AS (SELECT u.*, s.base_city, cs.state AS inferred_state, cs.state AS state_code,
-        CASE WHEN length(u.elite) > 0 THEN len(string_split(u.elite, ',')) ELSE 0 END AS years_elite,
+        CAST(CASE WHEN length(u.elite) > 0 THEN len(string_split(u.elite, ',')) ELSE 0 END AS INTEGER) AS years_elite,
         p.rating_variance, coalesce(p.local_review_ratio, 0.0) AS local_review_ratio,
         date_diff('day', p.last_d, (SELECT max(date) FROM loc)) AS days_since_last_review,
         u.review_count / CASE WHEN date_diff('day', p.first_d, p.last_d) = 0 THEN 1
