@@ -49,16 +49,19 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def link(members: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(members: DataFrame, details: Callable[[DataFrame], DataFrame],
+         check: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Groups of ``members (bucket long, node long)`` -> (node, root) for nodes in groups of two or more.
 
-    ``check`` takes distinct pairs (a, b) with a < b and returns those that belong together.
+    ``details`` takes the nodes that share a bucket, once, and returns what ``check`` needs about them;
+    ``check`` takes distinct pairs (a, b) and these details and returns the pairs that belong together.
     """
     seen = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     hold = saved(members.join(seen.select("bucket", "low"), "bucket").distinct(), "buckets")
+    about = saved(details(hold.select("node").distinct()), "details")
     rows = hold.count()
     pairs = hold.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    edges = saved(check(pairs), "links")
+    edges = saved(check(pairs, about), "links")
     left = None
     while True:
         groups = saved(components(edges), "groups")
@@ -68,18 +71,19 @@ def link(members: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFra
         open_ = saved(per_root.groupBy("bucket").agg(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"),
             F.min_by("root", F.struct("n", "root")).alias("small")).filter("n * n > n2"), "open")
-        todo = open_.agg(F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2)).first()[0]
+        # pairs of different groups, but for two lone members, which the last round compared
+        todo = open_.filter("n > 2").agg(F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2)).first()[0]
         if not todo:
             return groups
-        still = labelled.join(open_, "bucket")
+        still = labelled.join(open_.filter("n > 2"), "bucket")
         if todo <= PAIRS_PER_MEMBER * rows + 1000 or (left is not None and todo > 0.9 * left):
             x, y = still.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")), \
                 still.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
             pairs = x.join(y, (x.bucket == y.bucket) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
-            found = saved(check(pairs.select("a", "b").distinct()), "links")
+            found = saved(check(pairs.select("a", "b").distinct(), about), "links")
             return saved(components(edges.unionByName(found)), "groups")
         left = todo
         pivot = still.filter("root = small").groupBy("bucket").agg(F.min("node").alias("p"))
         pairs = still.filter("root <> small").join(pivot, "bucket").select(
             F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        edges = saved(edges.unionByName(check(pairs)).distinct(), "links")
+        edges = saved(edges.unionByName(check(pairs, about)).distinct(), "links")
