@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placerank.llm.common import saved
@@ -50,11 +50,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link(members: DataFrame, details: Callable[[DataFrame], DataFrame],
-         check: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+         check: Callable[[DataFrame, DataFrame], DataFrame],
+         near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Groups of ``members (bucket long, node long)`` -> (node, root) for nodes in groups of two or more.
 
     ``details`` takes the nodes that share a bucket, once, and returns what ``check`` needs about them;
     ``check`` takes distinct pairs (a, b) and these details and returns the pairs that belong together.
+    ``near`` is a condition on the details' column ``mark`` of two nodes that linked pairs always meet; it
+    is tested where members of a bucket are joined.
     """
     seen = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     hold = saved(members.join(seen.select("bucket", "low"), "bucket").distinct(), "buckets")
@@ -77,9 +80,12 @@ def link(members: DataFrame, details: Callable[[DataFrame], DataFrame],
             return groups
         still = labelled.join(open_.filter("n > 2"), "bucket")
         if todo <= PAIRS_PER_MEMBER * rows + 1000 or (left is not None and todo > 0.9 * left):
-            x, y = still.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")), \
-                still.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
-            pairs = x.join(y, (x.bucket == y.bucket) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
+            mark = about.select("node", "mark") if near else about.select("node", F.lit(0).alias("mark"))
+            still = still.join(mark, "node")
+            x, y = still.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("mark").alias("ma")), \
+                still.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("mark").alias("mb"))
+            meet = (x.bucket == y.bucket) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+            pairs = x.join(y, meet & near(F.col("ma"), F.col("mb")) if near else meet)
             found = saved(check(pairs.select("a", "b").distinct(), about), "links")
             return saved(components(edges.unionByName(found)), "groups")
         left = todo
