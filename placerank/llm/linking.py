@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from placerank.llm.common import saved
 
-# Pairs between different groups are all compared once they are at most this many per member row.
-PAIRS_PER_MEMBER = 4
+# Pairs between different groups are all compared once there is at most one for so many member rows, or
+# once pivots no longer join groups.
+ROWS_PER_PAIR = 4
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -65,21 +66,24 @@ def link(members: DataFrame, details: Callable[[DataFrame], DataFrame],
     rows = hold.count()
     pairs = hold.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     edges = saved(check(pairs, about), "links")
-    left = None
+    left, turn = None, 0
     while True:
         groups = saved(components(edges), "groups")
         labelled = hold.join(groups, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
         per_root = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        # the next pivot is a member of the bucket's smallest group: strangers are settled first
+        # the next pivots are members of the bucket's largest group, which most others should join, and of its
+        # smallest, whose strangers are settled first
         open_ = saved(per_root.groupBy("bucket").agg(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"),
-            F.min_by("root", F.struct("n", "root")).alias("small")).filter("n * n > n2"), "open")
+            F.min_by("root", F.struct("n", "root")).alias("small"), F.max_by("root", F.struct("n", "root")).alias("large"))
+            .filter("n * n > n2"), "open")
         # pairs of different groups, but for two lone members, which the last round compared
         todo = open_.filter("n > 2").agg(F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2)).first()[0]
         if not todo:
             return groups
         still = labelled.join(open_.filter("n > 2"), "bucket")
-        if todo <= PAIRS_PER_MEMBER * rows + 1000 or (left is not None and todo > 0.9 * left):
+        turn += 1
+        if todo <= rows / ROWS_PER_PAIR + 1000 or (left is not None and todo > 0.9 * left):
             mark = about.select("node", "mark") if near else about.select("node", F.lit(0).alias("mark"))
             still = still.join(mark, "node")
             x, y = still.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("mark").alias("ma")), \
@@ -89,7 +93,8 @@ def link(members: DataFrame, details: Callable[[DataFrame], DataFrame],
             found = saved(check(pairs.select("a", "b").distinct(), about), "links")
             return saved(components(edges.unionByName(found)), "groups")
         left = todo
-        pivot = still.filter("root = small").groupBy("bucket").agg(F.min("node").alias("p"))
-        pairs = still.filter("root <> small").join(pivot, "bucket").select(
+        pivot = still.filter("root = small or root = large").groupBy("bucket", F.col("root").alias("r")).agg(
+            F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("p"))
+        pairs = still.join(pivot, "bucket").filter("root <> r").select(
             F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         edges = saved(edges.unionByName(check(pairs, about)).distinct(), "links")

@@ -11,8 +11,8 @@ hash. Equal windows have equal anchors, so no repeat is missed, and one anchor s
    suffixes with an equal start always share a bucket and no comparison crosses a bucket's border.
    Buckets sort by multikey quicksort: by one key word, then by the next inside ties only.
 3. Of anchors whose whole stretch of windows is equal, all but the earliest are repeats. Where
-   stretches with an equal anchor differ (the ends of a repeat), their windows are compared one by one:
-   they are routed by their own 96-bit hash, so even a passage in a third of all documents spreads out.
+   stretches with an equal anchor differ (the ends of a repeat), their windows are compared one by one,
+   but for those whose neighbourhood of 80 bytes differs already: they are routed by their own 96-bit hash, so even a passage in a third of all documents spreads out.
 4. Spans of a document are merged and cut from its bytes.
 """
 from __future__ import annotations
@@ -34,19 +34,25 @@ SPREAD = LENGTH - GRAM + 1
 LEAD = 16
 FLUSH_BYTES = 32 << 20          # text whose anchors a task sorts at once before it sends them on
 SAMPLE_DOCS = 1000
+FLUSH_WINDOWS = 400_000
+# Windows that choose an anchor, by how many bytes before it they start: (fewest, most). All windows of
+# a part share the bytes from ``fewest`` before the anchor to ``LENGTH - most`` after it.
+PARTS = [(0, 18), (19, 37), (38, 56), (57, SPREAD - 1)]
 _RAW2 = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 
 ROUTED = ("bucket int, id long, a array<int>, b array<int>, h array<int>, s array<long>, ids array<long>, "
-          "pos array<int>, dl array<byte>, dh array<byte>")
+          "pos array<int>, dl array<byte>, dh array<byte>, q array<long>")
 SETTLED = "id long, ends boolean, a array<int>, b array<int>"
 
 
 def anchors(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """Anchors of the texts in ``buf``: text, position in the buffer, first and last window, the gram's and stretch's hash."""
+    """Anchors of the texts in ``buf``: text, position in the buffer, first and last window, the hashes of the gram
+    and of the stretch, and (q) 16 bits of hash of what the windows of each of the four PARTS share."""
     n = len(buf)
     empty = np.zeros(0, np.int64)
     if n < LENGTH:
-        return {"doc": empty, "at": empty, "lo": empty, "hi": empty, "h": empty.astype(U), "s": empty.astype(U)}
+        return {"doc": empty, "at": empty, "lo": empty, "hi": empty, "h": empty.astype(U), "s": empty.astype(U),
+                "q": empty.astype(U)}
     c = prefix_sums(buf, _RAW)
     start = np.arange(n - GRAM + 1)
     h = range_hash(c, start, start + GRAM)
@@ -65,12 +71,17 @@ def anchors(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     win = np.flatnonzero(np.cumsum(ok[:len(best)]) > 0)
     at = (best[win] & U(0xFFFFFFFF)).astype(np.int64)
     if not len(at):
-        return {"doc": empty, "at": empty, "lo": empty, "hi": empty, "h": empty.astype(U), "s": empty.astype(U)}
+        return {"doc": empty, "at": empty, "lo": empty, "hi": empty, "h": empty.astype(U), "s": empty.astype(U),
+                "q": empty.astype(U)}
     new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     lo, hi, at = win[new], win[np.append(new[1:], len(win)) - 1], at[new]
     with np.errstate(over="ignore"):
         s = mix(range_hash(c, lo, hi + LENGTH) + (at - lo).astype(np.uint64))
-    return {"doc": np.searchsorted(off, at, "right") - 1, "at": at, "lo": lo, "hi": hi, "h": h[at], "s": s}
+    q = np.zeros(len(at), np.uint64)
+    for i, (few, most) in enumerate(PARTS):     # out of the buffer: no window of this part
+        shared = range_hash(c, np.maximum(at - few, 0), np.minimum(at - most + LENGTH, n))
+        q |= (shared >> U(48)) << U(16 * i)
+    return {"doc": np.searchsorted(off, at, "right") - 1, "at": at, "lo": lo, "hi": hi, "h": h[at], "s": s, "q": q}
 
 
 def leading(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -127,9 +138,9 @@ def _join_ranges(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tu
 class _Records:
     """Suffix records as columns, sorted so that the earliest of equal ones comes first."""
 
-    def __init__(self, h, s, ids, pos, dl, dh):
+    def __init__(self, h, s, ids, pos, dl, dh, q):
         order = multikey_order(h, s, ids, pos)
-        self.h, self.s, self.ids, self.pos, self.dl, self.dh = (x[order] for x in (h, s, ids, pos, dl, dh))
+        self.h, self.s, self.ids, self.pos, self.dl, self.dh, self.q = (x[order] for x in (h, s, ids, pos, dl, dh, q))
         self.order = order
         self.first = _runs(self.h) | _runs(self.s) if len(h) else np.zeros(0, bool)
 
@@ -138,12 +149,25 @@ class _Records:
         return _join_ranges(self.ids[r], self.pos[r] - self.dl[r], self.pos[r] - self.dh[r] + LENGTH)
 
     def ends(self):
-        """Windows of first records whose anchor meets a different stretch."""
+        """Windows of first records whose anchor meets a different stretch that may hold the same window."""
         at = np.flatnonzero(self.first)
+        if not len(at):
+            return iter(())
         group = np.cumsum(_runs(self.h[at]))
-        many = at[np.bincount(group, minlength=len(at) + 2)[group] > 1] if len(at) else at
-        ids, lo, hi = self.ids[many], self.pos[many] - self.dl[many], self.pos[many] - self.dh[many] + 1
-        return _join_ranges(ids, lo, hi)
+        at = at[np.bincount(group)[group] > 1]
+        ids, lo, hi = [], [], []
+        for i, (few, most) in enumerate(PARTS):
+            part = (self.q[at].view(np.uint64) >> U(16 * i)) & U(0xFFFF)
+            order = np.lexsort((part, self.h[at]))
+            new = _runs(self.h[at][order]) | _runs(part[order])
+            run = np.cumsum(new)
+            k = at[order][np.bincount(run)[run] > 1] if len(order) else at
+            low, high = self.pos[k] - np.minimum(most, self.dl[k]), self.pos[k] - np.maximum(few, self.dh[k]) + 1
+            some = low < high
+            ids.append(self.ids[k][some])
+            lo.append(low[some])
+            hi.append(high[some])
+        return _join_ranges(np.concatenate(ids), np.concatenate(lo), np.concatenate(hi))
 
 
 def _ints(x):
@@ -152,15 +176,15 @@ def _ints(x):
 
 def _routed(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()),
-             pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(pa.int8())]
-    names = ["bucket", "id", "a", "b", "h", "s", "ids", "pos", "dl", "dh"]
+             pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(pa.int8()), pa.list_(pa.int64())]
+    names = ["bucket", "id", "a", "b", "h", "s", "ids", "pos", "dl", "dh", "q"]
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def _send(h, s, ids, pos, dl, dh, bucket) -> Iterator[pa.RecordBatch]:
+def _send(h, s, ids, pos, dl, dh, q, bucket) -> Iterator[pa.RecordBatch]:
     """Settle what repeats inside the task; send the earliest record of each kind to its bucket."""
-    r = _Records(h, s, ids, pos, dl, dh)
-    rows = [(i % 1024, d, _ints(a), _ints(b), *[None] * 6) for i, (d, a, b) in enumerate(r.repeats())]
+    r = _Records(h, s, ids, pos, dl, dh, q)
+    rows = [(i % 1024, d, _ints(a), _ints(b), *[None] * 7) for i, (d, a, b) in enumerate(r.repeats())]
     keep = np.flatnonzero(r.first)
     where = bucket[r.order][keep]
     keep = keep[np.lexsort((r.pos[keep], r.ids[keep], where))]
@@ -169,7 +193,7 @@ def _send(h, s, ids, pos, dl, dh, bucket) -> Iterator[pa.RecordBatch]:
     for i, j in zip(cut, np.append(cut[1:], len(keep)), strict=True):
         k = keep[i:j]
         rows.append((int(where[i]), None, None, None, (r.h[k] >> U(32)).astype(np.uint32).view(np.int32), r.s[k].view(np.int64),
-                     r.ids[k], r.pos[k].astype(np.int32), r.dl[k].astype(np.int8), r.dh[k].astype(np.int8)))
+                     r.ids[k], r.pos[k].astype(np.int32), r.dl[k].astype(np.int8), r.dh[k].astype(np.int8), r.q[k].view(np.int64)))
     for i in range(0, len(rows), 2000):
         yield _routed(rows[i:i + 2000])
 
@@ -188,7 +212,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                 pa.array([r[2] for r in rows], pa.list_(pa.int32())),
                                 pa.array([r[3] for r in rows], pa.list_(pa.int32()))], names=["id", "ends", "a", "b"])
 
-    kinds = {"h": np.int32, "s": np.int64, "ids": np.int64, "pos": np.int32, "dl": np.int8, "dh": np.int8}
+    kinds = {"h": np.int32, "s": np.int64, "ids": np.int64, "pos": np.int32, "dl": np.int8, "dh": np.int8, "q": np.int64}
     for batch in batches:
         done = batch.filter(batch.column("id").is_valid())
         if done.num_rows:
@@ -198,8 +222,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sent.num_rows:
             held.append([np.array(sent.column(c).flatten().to_numpy(zero_copy_only=False), t) for c, t in kinds.items()])
     if held:
-        h, s, ids, pos, dl, dh = (np.concatenate(x) for x in zip(*held, strict=True))
-        r = _Records(h, s, ids, pos.astype(np.int64), dl.astype(np.int64), dh.astype(np.int64))
+        h, s, ids, pos, dl, dh, q = (np.concatenate(x) for x in zip(*held, strict=True))
+        r = _Records(h, s, ids, pos.astype(np.int64), dl.astype(np.int64), dh.astype(np.int64), q)
         rows = [(d, False, _ints(a), _ints(b)) for d, a, b in r.repeats()]
         rows += [(d, True, _ints(a), _ints(b)) for d, a, b in r.ends()]
         for i in range(0, len(rows), 2000):
@@ -233,7 +257,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 x = anchors(buf, off)
                 here = off[x["doc"]]
                 bucket = np.searchsorted(splitters, leading(buf, x["at"]), "right") if len(splitters) else np.zeros(len(here), np.int64)
-                held.append((x["h"], x["s"], ids[i + x["doc"]], x["at"] - here, x["at"] - x["lo"], x["at"] - x["hi"], bucket))
+                held.append((x["h"], x["s"], ids[i + x["doc"]], x["at"] - here, x["at"] - x["lo"], x["at"] - x["hi"], x["q"], bucket))
                 size += len(buf)
                 if size >= FLUSH_BYTES:
                     yield from _flush(held)
@@ -243,7 +267,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            held = []
+            held, size = [], 0
             for i, buf, off in pieces(batch.column("text")):
                 c1, c2 = prefix_sums(buf, _RAW), prefix_sums(buf, _RAW2)
                 for j in range(len(off) - 1):
@@ -252,7 +276,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     p = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                     h, s = (range_hash(c, p + off[j], p + off[j] + LENGTH) for c in (c1, c2))
                     zero = np.zeros(len(p), np.int64)
-                    held.append((h, s, np.full(len(p), ids[i + j]), p, zero, zero, (h % U(buckets)).astype(np.int64)))
+                    held.append((h, s, np.full(len(p), ids[i + j]), p, zero, zero, zero.view(np.uint64),
+                                 (h % U(buckets)).astype(np.int64)))
+                    size += len(p)
+                    if size >= FLUSH_WINDOWS:
+                        yield from _flush(held)
+                        held, size = [], 0
             yield from _flush(held)
 
     settle = lambda df: saved(df.repartition(buckets, "bucket").mapInArrow(_settle, SETTLED), "repeats")
