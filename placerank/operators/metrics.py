@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from placerank.models.common import materialize
 from placerank.sources.reference_values import METRIC_KS, RELEVANCE_THRESHOLD
 
 
@@ -53,6 +54,7 @@ def exact_median(df: DataFrame, col: str) -> DataFrame:
               .repartitionByRange("v").withColumn("_pid", F.spark_partition_id()))
     local = counts.withColumn("_cum", F.sum("c").over(
         Window.partitionBy("_pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    local = materialize(local)   # partition numbers are read twice below and must be the same ones
     sizes = local.groupBy("_pid").agg(F.sum("c").alias("_s"))
     offs = sizes.select("_pid", F.coalesce(F.sum("_s").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))

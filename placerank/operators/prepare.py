@@ -73,6 +73,7 @@ def dense_codes(df: DataFrame, cols: list[str]) -> DataFrame:
     part = Window.partitionBy("_pid", "column")
     d = (d.withColumn("_local", F.row_number().over(part.orderBy("value")))
          .withColumn("_cnt", F.count(F.lit(1)).over(part)))
+    d = materialize(d)   # partition numbers are read twice below and must be the same ones
     sizes = d.groupBy("_pid", "column").agg(F.max("_cnt").alias("_cnt"))
     offsets = sizes.select("_pid", "column", F.coalesce(F.sum("_cnt").over(
         Window.partitionBy("column").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),

@@ -93,7 +93,7 @@ def _item_chunks(items: DataFrame, max_bytes: int) -> list[DataFrame]:
 
 
 def _best_per_user(users: DataFrame, chunk: DataFrame, mu: float, n: int, min_rating: float | None) -> DataFrame:
-    """Per user, the items of ``chunk`` scoring at least the (n + n_rated)-th best score."""
+    """Per user, the ``n + n_rated`` best items of ``chunk`` by (score, smallest id)."""
     sc = users.sparkSession.sparkContext
     pdf = chunk.toPandas()   # size checked by _item_chunks
     ids = pdf["business_id"].to_numpy()
@@ -116,10 +116,12 @@ def _best_per_user(users: DataFrame, chunk: DataFrame, mu: float, n: int, min_ra
                     sr = scores[row]
                     kk = min(int(n + k), sr.shape[0])
                     cut = np.partition(sr, sr.shape[0] - kk)[sr.shape[0] - kk]
-                    keep = sr >= cut
+                    above, level = np.nonzero(sr > cut)[0], np.nonzero(sr == cut)[0]
+                    if len(above) + len(level) > kk:   # ties at the cut go to the smallest ids
+                        level = level[np.argsort(ids_[level], kind="stable")[:kk - len(above)]]
+                    idx = np.concatenate([above, level])
                     if min_rating is not None:
-                        keep &= sr >= min_rating
-                    idx = np.nonzero(keep)[0]
+                        idx = idx[raw[row][idx] >= min_rating]
                     out_u.append(np.full(len(idx), uid))
                     out_i.append(ids_[idx])
                     out_s.append(raw[row][idx])
@@ -127,8 +129,8 @@ def _best_per_user(users: DataFrame, chunk: DataFrame, mu: float, n: int, min_ra
                     yield pd.DataFrame({"user_id": np.concatenate(out_u), "business_id": np.concatenate(out_i),
                                         "predicted_rating": np.concatenate(out_s)})
 
-    schema = "user_id long, business_id long, predicted_rating double"
-    return users.mapInPandas(fn, schema)
+    return users.mapInPandas(fn, f"user_id {dict(users.dtypes)['user_id']}, "
+                                 f"business_id {dict(chunk.dtypes)['business_id']}, predicted_rating double")
 
 
 def recommend_top_n(model: FactorModel, rated: DataFrame, n: int = 10, min_rating: float | None = 3.5,
@@ -148,7 +150,9 @@ def recommend_top_n(model: FactorModel, rated: DataFrame, n: int = 10, min_ratin
     u = u.join(n_rated, "user_id", "left").fillna(0, subset=["n_rated"])
     parts = [_best_per_user(u, c, model.mu, n, min_rating) for c in _item_chunks(_i(model), max_broadcast_bytes)]
     if not parts:
-        return u.sparkSession.createDataFrame([], "user_id long, business_id long, predicted_rating double, rank int")
+        return u.sparkSession.createDataFrame(
+            [], f"user_id {dict(u.dtypes)['user_id']}, business_id {dict(model.items.dtypes)['business_id']}, "
+                "predicted_rating double, rank int")
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)

@@ -131,3 +131,31 @@ def test_sentiment_rules(spark):
 def test_checkins_sum_comma_parts(spark):
     c = spark.createDataFrame([(1, "a,b"), (1, "c"), (2, "")], "business_id long, date string")
     assert {r.business_id: r.num_checkins for r in fb.checkin_counts(c).collect()} == {1: 3, 2: 0}
+
+
+def test_codes_and_median_without_exchange_reuse(spark):
+    """Partition numbers are written before they are read twice: right also when no exchange is reused."""
+    from placerank.operators import prepare
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.range(400_000).select((F.xxhash64("id") % 50_000_000).cast("double").alias("x"))
+        vals = sorted(r.x for r in df.collect())
+        codes = {r.value: r.code for r in prepare.dense_codes(df, ["x"]).collect()}
+        assert codes == {v: i for i, v in enumerate(sorted(set(vals)))}
+        assert metrics.exact_median(df, "x").first()["median"] == np.median(vals)
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_top_n_bounds_ties_and_keeps_string_ids(spark):
+    items = spark.createDataFrame([(f"b{i:03}", 0.0, [1.0]) for i in range(300)], "business_id string, bias double, ivec array<double>")
+    users = spark.createDataFrame([(f"u{i}", 0.0, [0.5]) for i in range(3)], "user_id string, bias double, uvec array<double>")
+    rated = spark.createDataFrame([("u0", "b000"), ("u0", "b002")], "user_id string, business_id string")
+    model = score.FactorModel(3.0, users, items)
+    out = score.recommend_top_n(model, rated, n=4).collect()
+    best = {u: [r.business_id for r in sorted(out, key=lambda r: r["rank"]) if r.user_id == u] for u in ("u0", "u1", "u2")}
+    assert best == {"u0": ["b001", "b003", "b004", "b005"], "u1": ["b000", "b001", "b002", "b003"],
+                    "u2": ["b000", "b001", "b002", "b003"]}
+    below = score.FactorModel(2.9999999996, users, items)      # 3.4999999996 does not reach 3.5
+    assert score.recommend_top_n(below, rated, n=4).count() == 0
