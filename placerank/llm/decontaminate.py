@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from placerank.llm.common import saved, whole_text
 from placerank.llm.wordhash import U, grams, pieces, word_hashes
@@ -77,7 +78,7 @@ def tile(matches: list[tuple[int, int]], least: int = SEED_WORDS) -> int:
     return len(item)
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def covered_words(matches: pa.Array) -> pa.Array:
     """Covered item words for each list of seed matches struct(pos, at)."""
     out = []

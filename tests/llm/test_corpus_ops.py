@@ -445,3 +445,13 @@ def test_exact_dedup_oracle(spark):
     con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
     for name, sql in ORACLES.items():
         assert norm_frame(QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()) == norm_frame(con.execute(sql).df())
+
+
+def test_entry_lists_queries_without_a_session():
+    import subprocess
+    import sys
+
+    root = __import__("os").path.dirname(__import__("corpus_pipeline").__file__)
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries())"], cwd=root,
+                         capture_output=True, text=True, timeout=300)
+    assert "op10_line_dedup" in out.stdout and "pipeline" in out.stdout, out.stderr[-500:]
