@@ -40,9 +40,10 @@ FLUSH_WINDOWS = 400_000
 PARTS = [(0, 18), (19, 37), (38, 56), (57, SPREAD - 1)]
 _RAW2 = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 
-ROUTED = ("bucket int, id long, a array<int>, b array<int>, h array<int>, s array<long>, ids array<long>, "
+ROUTED = ("bucket int, a array<int>, b array<int>, h array<int>, s array<long>, ids array<long>, "
           "pos array<int>, dl array<byte>, dh array<byte>, q array<long>")
-SETTLED = "id long, ends boolean, a array<int>, b array<int>"
+SETTLED = "ends boolean, ids array<long>, a array<int>, b array<int>"
+PACK = 20_000                   # ranges in a row
 
 
 def anchors(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
@@ -144,15 +145,15 @@ class _Records:
         self.order = order
         self.first = _runs(self.h) | _runs(self.s) if len(h) else np.zeros(0, bool)
 
-    def repeats(self):
+    def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         r = ~self.first
-        return _join_ranges(self.ids[r], self.pos[r] - self.dl[r], self.pos[r] - self.dh[r] + LENGTH)
+        return self.ids[r], self.pos[r] - self.dl[r], self.pos[r] - self.dh[r] + LENGTH
 
     def ends(self):
         """Windows of first records whose anchor meets a different stretch that may hold the same window."""
         at = np.flatnonzero(self.first)
         if not len(at):
-            return iter(())
+            return at, at, at
         group = np.cumsum(_runs(self.h[at]))
         at = at[np.bincount(group)[group] > 1]
         ids, lo, hi = [], [], []
@@ -167,24 +168,33 @@ class _Records:
             ids.append(self.ids[k][some])
             lo.append(low[some])
             hi.append(high[some])
-        return _join_ranges(np.concatenate(ids), np.concatenate(lo), np.concatenate(hi))
+        return np.concatenate(ids), np.concatenate(lo), np.concatenate(hi)
 
 
-def _ints(x):
-    return None if x is None else np.asarray(x, np.int32)
+def _merged(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    got = list(_join_ranges(ids, lo, hi))
+    if not got:
+        return ids, lo, hi
+    return (np.repeat([d for d, _, _ in got], [len(a) for _, a, _ in got]), np.concatenate([a for _, a, _ in got]),
+            np.concatenate([b for _, _, b in got]))
+
+
+def _packed(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for i in range(0, len(ids), PACK):
+        yield ids[i:i + PACK], lo[i:i + PACK].astype(np.int32), hi[i:i + PACK].astype(np.int32)
 
 
 def _routed(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()),
+    kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()),
              pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(pa.int8()), pa.list_(pa.int64())]
-    names = ["bucket", "id", "a", "b", "h", "s", "ids", "pos", "dl", "dh", "q"]
+    names = ["bucket", "a", "b", "h", "s", "ids", "pos", "dl", "dh", "q"]
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def _send(h, s, ids, pos, dl, dh, q, bucket) -> Iterator[pa.RecordBatch]:
     """Settle what repeats inside the task; send the earliest record of each kind to its bucket."""
     r = _Records(h, s, ids, pos, dl, dh, q)
-    rows = [(i % 1024, d, _ints(a), _ints(b), *[None] * 7) for i, (d, a, b) in enumerate(r.repeats())]
+    rows = [(i, a, b, None, None, ids, *[None] * 4) for i, (ids, a, b) in enumerate(_packed(*_merged(*r.repeats())))]
     keep = np.flatnonzero(r.first)
     where = bucket[r.order][keep]
     keep = keep[np.lexsort((r.pos[keep], r.ids[keep], where))]
@@ -192,10 +202,10 @@ def _send(h, s, ids, pos, dl, dh, q, bucket) -> Iterator[pa.RecordBatch]:
     cut = np.flatnonzero(_runs(where))
     for i, j in zip(cut, np.append(cut[1:], len(keep)), strict=True):
         k = keep[i:j]
-        rows.append((int(where[i]), None, None, None, (r.h[k] >> U(32)).astype(np.uint32).view(np.int32), r.s[k].view(np.int64),
+        rows.append((int(where[i]), None, None, (r.h[k] >> U(32)).astype(np.uint32).view(np.int32), r.s[k].view(np.int64),
                      r.ids[k], r.pos[k].astype(np.int32), r.dl[k].astype(np.int8), r.dh[k].astype(np.int8), r.q[k].view(np.int64)))
-    for i in range(0, len(rows), 2000):
-        yield _routed(rows[i:i + 2000])
+    for i in range(0, len(rows), 500):
+        yield _routed(rows[i:i + 500])
 
 
 def _flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -205,29 +215,27 @@ def _flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All records of a bucket: mark repeats, name the windows at the ends of repeats."""
-    held, rows = [], []
+    held = []
 
-    def out(rows):
-        return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()),
-                                pa.array([r[2] for r in rows], pa.list_(pa.int32())),
-                                pa.array([r[3] for r in rows], pa.list_(pa.int32()))], names=["id", "ends", "a", "b"])
+    def out(ends: bool, rows) -> Iterator[pa.RecordBatch]:
+        for ids, a, b in rows:
+            yield pa.record_batch([pa.array([ends]), pa.array([ids], pa.list_(pa.int64())), pa.array([a], pa.list_(pa.int32())),
+                                   pa.array([b], pa.list_(pa.int32()))], names=["ends", "ids", "a", "b"])
 
     kinds = {"h": np.int32, "s": np.int64, "ids": np.int64, "pos": np.int32, "dl": np.int8, "dh": np.int8, "q": np.int64}
     for batch in batches:
-        done = batch.filter(batch.column("id").is_valid())
+        done = batch.filter(batch.column("a").is_valid())
         if done.num_rows:
-            yield pa.record_batch([done.column("id"), pa.array(np.zeros(done.num_rows, bool)), done.column("a"), done.column("b")],
-                                  names=["id", "ends", "a", "b"])
-        sent = batch.filter(batch.column("id").is_null())
+            yield pa.record_batch([pa.array(np.zeros(done.num_rows, bool)), done.column("ids"), done.column("a"), done.column("b")],
+                                  names=["ends", "ids", "a", "b"])
+        sent = batch.filter(batch.column("a").is_null())
         if sent.num_rows:
             held.append([np.array(sent.column(c).flatten().to_numpy(zero_copy_only=False), t) for c, t in kinds.items()])
     if held:
         h, s, ids, pos, dl, dh, q = (np.concatenate(x) for x in zip(*held, strict=True))
         r = _Records(h, s, ids, pos.astype(np.int64), dl.astype(np.int64), dh.astype(np.int64), q)
-        rows = [(d, False, _ints(a), _ints(b)) for d, a, b in r.repeats()]
-        rows += [(d, True, _ints(a), _ints(b)) for d, a, b in r.ends()]
-        for i in range(0, len(rows), 2000):
-            yield out(rows[i:i + 2000])
+        yield from out(False, _packed(*r.repeats()))
+        yield from out(True, _packed(*r.ends()))
 
 
 def _splitters(docs: DataFrame, buckets: int) -> np.ndarray:
@@ -244,7 +252,7 @@ def _splitters(docs: DataFrame, buckets: int) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``docs (id long unique, text)`` -> (id, a array<int>, b array<int>): byte ranges to remove, not yet merged."""
+    """``docs (id long unique, text)`` -> (id, a, b): byte ranges to remove, not yet merged."""
     spark = docs.sparkSession
     buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     splitters = _splitters(docs, buckets)
@@ -271,7 +279,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             for i, buf, off in pieces(batch.column("text")):
                 c1, c2 = prefix_sums(buf, _RAW), prefix_sums(buf, _RAW2)
                 for j in range(len(off) - 1):
-                    a, b = (np.concatenate([np.asarray(x, np.int64) for x in batch.column(k)[i + j].as_py()]) for k in "ab")
+                    a, b = (np.asarray(batch.column(k)[i + j].as_py(), np.int64) for k in "ab")
                     n = b - a
                     p = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                     h, s = (range_hash(c, p + off[j], p + off[j] + LENGTH) for c in (c1, c2))
@@ -285,10 +293,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield from _flush(held)
 
     settle = lambda df: saved(df.repartition(buckets, "bucket").mapInArrow(_settle, SETTLED), "repeats")
+    ranges = lambda df: df.select(F.explode(F.arrays_zip("ids", "a", "b")).alias("r")).select(
+        F.col("r.ids").alias("id"), "r.a", "r.b")
     first = settle(docs.select("id", "text").mapInArrow(send_anchors, ROUTED))
-    ends = first.filter("ends").groupBy("id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    ends = ranges(first.filter("ends")).groupBy("id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     second = settle(ends.join(docs.select("id", "text"), "id").mapInArrow(send_windows, ROUTED)).filter("not ends")
-    return first.filter("not ends").unionByName(second).select("id", "a", "b")
+    return ranges(first.filter("not ends").unionByName(second))
 
 
 def remove_repeats(docs: DataFrame, *, with_text: bool = True) -> DataFrame:
@@ -316,7 +326,7 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = True) -> DataFrame:
     else:
         rows = rows.withColumn("id", F.col("doc_id"))
         one = rows
-    spans = repeated_spans(one).groupBy("id").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b"))
+    spans = repeated_spans(one).groupBy("id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     kept = ", kept binary" if with_text else ""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
