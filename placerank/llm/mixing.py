@@ -3,7 +3,9 @@
 Token counts are summed per cell of source, language and topic. Values that a target does not list
 share one rest value, so there are at most (sources + 1) x (languages + 1) x (topics + 1) cells, a bound
 set by the parameters. Raking scales the cells' tokens in turn to the targets of each margin; it runs as
-one SQL expression over the array of cells. A document's calibrated weight is its cell's raked share over
+one SQL expression over the array of cells. Weights are trimmed in each round: a cell is raised to at most
+``max_weight`` times its tokens, and the others take up what it leaves, so a target that the tokens cannot meet
+does not cost nearly all other documents. A document's calibrated weight is its cell's raked share over
 its actual one; weights are scaled so that the largest keeps all its documents, and a document stays when
 a hash of its id falls below that probability.
 """
@@ -23,6 +25,7 @@ SOURCE_TARGETS: Mapping[str, float] = {"src0": 0.25, REST: 0.75}
 LANG_TARGETS: Mapping[str, float] = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
 TOPIC_TARGETS: Mapping[str, float] = {"prose": 0.90, "legal": 0.04, "contact": 0.03, "table": 0.03}
 ITERATIONS = 100
+MAX_WEIGHT = 5.0
 
 
 def tokens(text: Column) -> Column:
@@ -45,8 +48,11 @@ def _listed(value: Column, targets: Mapping[str, float]) -> Column:
     return F.when(value.isin(names), value).otherwise(F.lit(REST))
 
 
-def _rake_sql(targets: Sequence[Mapping[str, float]], iterations: int) -> str:
+def _rake_sql(targets: Sequence[Mapping[str, float]], iterations: int, max_weight: float | None) -> str:
     """SQL expression: raked tokens of each cell of ``cells`` (array of struct k0, k1, k2, w), in its order."""
+    # raking keeps the total, but trimming does not: each margin is scaled to the total of the cells
+    all_ = "aggregate(cells, 0.0D, (a, c) -> a + c.w)"
+
     def step(x: str, margin: int) -> str:
         t = targets[margin]
         goal = "map(" + ", ".join(f"'{k}', {float(v)!r}D" for k, v in t.items()) + ")"
@@ -58,7 +64,6 @@ def _rake_sql(targets: Sequence[Mapping[str, float]], iterations: int) -> str:
                 f"map(cells[i].{k}, coalesce(m[cells[i].{k}], 0.0D) + x{margin}[i])))")
         # the targets of values without tokens are spread over the others in proportion
         share = f"aggregate(map_keys(s{margin}), 0.0D, (a, b) -> a + if(s{margin}[b] > 0, g{margin}[b], 0.0D))"
-        all_ = f"aggregate(x{margin}, 0.0D, (a, b) -> a + b)"
         out = (f"transform(x{margin}, (v, i) -> if(v > 0 and f{margin}[0] > 0, v * g{margin}[cells[i].{k}] * f{margin}[1] / "
                f"(f{margin}[0] * s{margin}[cells[i].{k}]), v))")
         bind = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
@@ -68,23 +73,28 @@ def _rake_sql(targets: Sequence[Mapping[str, float]], iterations: int) -> str:
     turn = "x"
     for m in range(3):
         turn = step(turn, m)
+    if max_weight is not None:
+        turn = f"transform({turn}, (v, i) -> least(v, {float(max_weight)!r}D * cells[i].w))"
     return f"aggregate(sequence(1, {int(iterations)}), transform(cells, c -> cast(c.w as double)), (x, r) -> {turn})"
 
 
-def rake(cells: DataFrame, targets: Sequence[Mapping[str, float]], iterations: int = ITERATIONS) -> DataFrame:
-    """``cells (k0, k1, k2, w)`` (at most the product of the targets' sizes) -> (k0, k1, k2, w, raked)."""
+def rake(cells: DataFrame, targets: Sequence[Mapping[str, float]], iterations: int = ITERATIONS,
+         max_weight: float | None = None) -> DataFrame:
+    """``cells (k0, k1, k2, w)`` (at most the product of the targets' sizes) -> (k0, k1, k2, w, raked), with
+    raked at most ``max_weight`` times w."""
     row = cells.agg(F.array_sort(F.collect_list(F.struct("k0", "k1", "k2", "w"))).alias("cells")).filter("size(cells) > 0")
-    row = row.withColumn("raked", F.expr(_rake_sql(targets, iterations)))
+    row = row.withColumn("raked", F.expr(_rake_sql(targets, iterations, max_weight)))
     return row.select(F.explode(F.arrays_zip("cells", "raked")).alias("z")).select("z.cells.*", "z.raked")
 
 
 def mix_sources(docs: DataFrame, *, sources: Mapping[str, float] = SOURCE_TARGETS, langs: Mapping[str, float] = LANG_TARGETS,
                 topics: Mapping[str, float] = TOPIC_TARGETS, marks: Mapping[str, Sequence[str]] = TOPIC_MARKS,
-                iterations: int = ITERATIONS, seed: int = 11) -> DataFrame:
+                iterations: int = ITERATIONS, max_weight: float | None = MAX_WEIGHT, seed: int = 11) -> DataFrame:
     """``docs`` with ``topic``, ``n_tokens``, ``weight`` (raked share / share), ``probability`` and ``kept``.
 
     Edge cases: null or unlisted sources, languages and topics count as the rest value; without a target
-    for it their weight is 0. Targets need not sum to 1; those of values without tokens are spread over
+    for it their weight is 0. A target that would need weights over ``max_weight`` is met as far as that
+    bound allows (None: no bound). Targets need not sum to 1; those of values without tokens are spread over
     the others. A null text is empty; documents without a token do not move the margins and take their
     cell's weight, or 1 in a cell without tokens. The draw hashes the id, so rows that repeat an id share
     their fate, and a null id is a value like any other. Columns of ``docs`` with the added names are
@@ -96,8 +106,8 @@ def mix_sources(docs: DataFrame, *, sources: Mapping[str, float] = SOURCE_TARGET
     k = [_listed(F.col("source"), sources), _listed(F.col("lang"), langs), _listed(topic_, topics)]
     cells = docs.select(k[0].alias("k0"), k[1].alias("k1"), k[2].alias("k2"), tokens(text).alias("n")) \
         .groupBy("k0", "k1", "k2").agg(F.sum("n").alias("w"))
-    raked = rake(saved(cells, "cells"), targets, iterations)
-    # raking keeps the total, so a cell's raked tokens over its tokens are its share over its actual share
+    raked = rake(saved(cells, "cells"), targets, iterations, max_weight)
+    # a cell's raked tokens over its tokens are its share over its actual share
     table = raked.withColumn("_weight", F.when(F.col("w") > 0, F.col("raked") / F.col("w")).otherwise(F.lit(1.0)))
     table = saved(table.select("k0", "k1", "k2", "_weight"), "weights")
     top = table.agg(F.max("_weight")).first()[0] or 1.0

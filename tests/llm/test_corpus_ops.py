@@ -369,6 +369,24 @@ def test_mixing_samples_by_probability(spark):
     assert abs(share - 0.25) < 0.03 and all(r["kept"] for r in out if r["source"] == "src1")
 
 
+def test_mixing_trims_weights(spark):
+    from placerank.llm.mixing import rake
+
+    cells = [("a", "en", "p", 5000), ("a", "de", "p", 3000), ("*", "en", "p", 2000), ("*", "en", "q", 3)]
+    targets = ({"a": 0.5, "*": 0.5}, {"en": 0.6, "de": 0.4}, {"p": 0.7, "q": 0.3})
+    out = {(r["k0"], r["k1"], r["k2"]): r["raked"] for r in got(rake(
+        spark.createDataFrame(cells, "k0 string, k1 string, k2 string, w long"), targets, 100, 4.0))}
+    x, total = {c[:3]: float(c[3]) for c in cells}, sum(c[3] for c in cells)
+    for _ in range(100):
+        for m, target in enumerate(targets):
+            for k, share in target.items():
+                s = sum(v for c, v in x.items() if c[m] == k)
+                x = {c: v * share * total / s if c[m] == k else v for c, v in x.items()}
+        x = {c[:3]: min(x[c[:3]], 4.0 * c[3]) for c in cells}
+    assert all(abs(out[c] - x[c]) < 1e-6 * total for c in x)
+    assert out[("*", "en", "q")] <= 12 and min(out[c[:3]] / c[3] for c in cells) > 0.1
+
+
 def test_line_dedup(docs, rows):
     from placerank.llm.line_dedup import dedup_lines
 
