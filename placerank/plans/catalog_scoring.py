@@ -200,9 +200,7 @@ def s11_page_recommendations(spark, d):
     return round_doubles(score.page(fixture_recs(spark, d), 2, 1000))
 
 
-@query("r1_rerank_by_gem", sql_round(TOPN.replace("rank <= 10", "rank <= 25") + ", g AS (" + GEM_SQL.split(
-    "SELECT * EXCLUDE (local_ratio_) FROM (WITH ")[0] + "SELECT 1)" if False else
-    TOPN.replace("rank <= 10", "rank <= 25") + """, gem AS (""" + GEM_SQL.replace("WITH ", "WITH ", 1) + """)
+@query("r1_rerank_by_gem", sql_round(TOPN.replace("rank <= 10", "rank <= 25") + ", gem AS (" + GEM_SQL + """)
     SELECT r.user_id, r.business_id, r.predicted_rating, CAST(r.rank AS INTEGER) AS rank, g.hidden_gem_score,
         CAST(row_number() OVER (PARTITION BY r.user_id ORDER BY g.hidden_gem_score DESC NULLS LAST,
             r.predicted_rating DESC, r.business_id) AS INTEGER) AS gem_rank
