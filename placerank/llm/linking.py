@@ -20,6 +20,8 @@ from placerank.llm.common import saved
 # Pairs between different groups are all compared once there is at most one for so many member rows, or
 # once pivots no longer join groups.
 ROWS_PER_PAIR = 4
+# at most 32 bytes a row: 3.2 MB
+BROADCAST_ROWS = 100_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,9 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     minimum is a partial aggregate and the join back on the node may be split when it is skewed.
     Self edges are ignored; an empty input gives an empty result.
     """
-    e = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-              "edges")
-    state = None
+    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -42,59 +42,75 @@ def components(edges: DataFrame) -> DataFrame:
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v").filter("u <> v").distinct())
         e = saved(e, "star")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        # done when each node hangs on one node, which hangs on none
+        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("hangs")),
+                                          F.struct(F.col("v").alias("node"), F.lit(0).alias("hangs")))).alias("x"), "v").select("x.*", "v")
+        loose = ends.groupBy("node").agg(F.max("hangs").alias("up"), F.min("hangs").alias("down"),
+                                         F.min("v").alias("v0"), F.max("v").alias("v1")).filter("up = 1 and (down = 0 or v0 < v1)")
+        if loose.isEmpty():
             break
-        state = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def link(members: DataFrame, details: Callable[[DataFrame], DataFrame],
-         check: Callable[[DataFrame, DataFrame], DataFrame],
-         near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """Groups of ``members (bucket long, node long)`` -> (node, root) for nodes in groups of two or more.
+def few(df: DataFrame) -> DataFrame:
+    """``df``, narrow rows in a saved table, marked for broadcast if they are at most ``BROADCAST_ROWS``: a join with
+    texts then moves no text. Beyond that the join shuffles both sides."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-    ``details`` takes the nodes that share a bucket, once, and returns what ``check`` needs about them;
-    ``check`` takes distinct pairs (a, b) and these details and returns the pairs that belong together.
-    ``near`` is a condition on the details' column ``mark`` of two nodes that linked pairs always meet; it
-    is tested where members of a bucket are joined.
+
+def link(members: DataFrame, near: Callable[[Column, Column], Column], details: Callable[[DataFrame], DataFrame],
+         check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Groups of ``members (bucket long, node long, mark)`` -> (node, root) for nodes in groups of two or more.
+
+    ``near`` is a cheap condition on the marks of two nodes that linked pairs always meet; it is tested where
+    members of a bucket are joined. ``details`` takes nodes (node) of pairs that passed it, each node once, and returns
+    (node, t); ``check`` takes distinct pairs (a, b, t_a, t_b) and returns those (a, b) that belong together.
     """
     seen = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    hold = saved(members.join(seen.select("bucket", "low"), "bucket").distinct(), "buckets")
-    about = saved(details(hold.select("node").distinct()), "details")
+    hold = saved(members.join(seen.select("bucket", "low"), "bucket"), "buckets")
     rows = hold.count()
-    pairs = hold.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    edges = saved(check(pairs, about), "links")
+    about = None
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        nonlocal about
+        pairs = saved(pairs.select("a", "b").distinct(), "pairs")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        more = saved(details(nodes if about is None else nodes.join(about.select("node"), "node", "left_anti")), "details")
+        about = more if about is None else about.unionByName(more)
+        a, b = (about.select(F.col("node").alias(c), F.col("t").alias(f"t_{c}")) for c in "ab")
+        return saved(check(pairs.join(a, "a").join(b, "b")), "links")
+
+    low = hold.filter("node = low").select("bucket", "low", F.col("mark").alias("low_mark")).distinct()
+    pairs = hold.filter("node <> low").drop("low").join(low, "bucket").filter(near(F.col("mark"), F.col("low_mark")))
+    edges = linked(pairs.select(F.col("low").alias("a"), F.col("node").alias("b")))
     left, turn = None, 0
     while True:
+        # after the first round the groups so far, each a star, stand for the links that made them
         groups = saved(components(edges), "groups")
-        labelled = hold.join(groups, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        stars = groups.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        labelled = hold.drop("low").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
         per_root = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
         # the next pivots are members of the bucket's largest group, which most others should join, and of its
         # smallest, whose strangers are settled first
         open_ = saved(per_root.groupBy("bucket").agg(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"),
             F.min_by("root", F.struct("n", "root")).alias("small"), F.max_by("root", F.struct("n", "root")).alias("large"))
-            .filter("n * n > n2"), "open")
+            .filter("n * n > n2 and n > 2"), "open")
         # pairs of different groups, but for two lone members, which the last round compared
-        todo = open_.filter("n > 2").agg(F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2)).first()[0]
+        todo = open_.agg(F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2)).first()[0]
         if not todo:
             return groups
-        still = labelled.join(open_.filter("n > 2"), "bucket")
+        still = labelled.join(open_, "bucket")
         turn += 1
         if todo <= rows / ROWS_PER_PAIR + 1000 or (left is not None and todo > 0.9 * left):
-            mark = about.select("node", "mark") if near else about.select("node", F.lit(0).alias("mark"))
-            still = still.join(mark, "node")
             x, y = still.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("mark").alias("ma")), \
                 still.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("mark").alias("mb"))
             meet = (x.bucket == y.bucket) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-            pairs = x.join(y, meet & near(F.col("ma"), F.col("mb")) if near else meet)
-            found = saved(check(pairs.select("a", "b").distinct(), about), "links")
-            return saved(components(edges.unionByName(found)), "groups")
+            found = linked(x.join(y, meet & near(F.col("ma"), F.col("mb"))))
+            return saved(components(stars.unionByName(found)), "groups")
         left = todo
         pivot = still.filter("root = small or root = large").groupBy("bucket", F.col("root").alias("r")).agg(
-            F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("p"))
-        pairs = still.join(pivot, "bucket").filter("root <> r").select(
-            F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        edges = saved(edges.unionByName(check(pairs, about)).distinct(), "links")
+            F.min_by(F.struct("node", "mark"), F.xxhash64("node", F.lit(turn))).alias("p"))
+        pairs = still.join(pivot, "bucket").filter((F.col("root") != F.col("r")) & near(F.col("mark"), F.col("p.mark")))
+        edges = stars.unionByName(linked(pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))))
