@@ -22,6 +22,8 @@ from placerank.llm.common import saved
 ROWS_PER_PAIR = 4
 # at most 32 bytes a row: 3.2 MB
 BROADCAST_ROWS = 100_000
+# 1.6 MB of edges
+ONE_TASK_EDGES = 100_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,11 +32,15 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps of the published map-reduce algorithm: each
     step hangs neighbours on the smallest node seen; the edge set converges to stars. Each node's
     minimum is a partial aggregate and the join back on the node may be split when it is skewed.
-    Self edges are ignored; an empty input gives an empty result.
+    Self edges are ignored; an empty input gives an empty result. Once a count shows at most ``ONE_TASK_EDGES``
+    edges, the same steps run in one partition, which saves shuffles of next to nothing. Read more than
+    once, so give ``edges`` as a saved table.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if e.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES:
+            e = e.coalesce(1)
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         e = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"))
