@@ -439,6 +439,35 @@ def test_line_links_match_brute_force(spark):
     assert {r["doc_id"] for r in got(ld.dedup_lines(df)) if r["n_dropped"]} == {i for i in range(len(lines)) if find(i) != i}
 
 
+def test_line_dedup_recall_by_edit_similarity_alone(spark, tmp_path):
+    from placerank.llm.queries import QUERIES
+
+    rng = random.Random(10)
+    vocab = [f"w{i}" for i in range(4000)]
+    common = [f"c{i}" for i in range(30)]
+    lines, near = [], []
+    for n in (5, 8, 9, 10, 20, 50, 100):
+        for edits in sorted({1, max(1, n // 10), n // 5}):
+            for _ in range(12):
+                w = [rng.choice(common if rng.random() < 0.4 else vocab) for _ in range(n)]
+                v = list(w)
+                # words replaced, or some taken out: the longer line has n words, so n // 5 edits are still near
+                for i in sorted(rng.sample(range(n), edits), reverse=True):
+                    if rng.random() < 0.7:
+                        v[i] = f"x{rng.randrange(10 ** 9)}"
+                    else:
+                        del v[i]
+                far = list(w)
+                for i in rng.sample(range(n), n // 5 + 1):
+                    far[i] = f"y{rng.randrange(10 ** 9)}"
+                near.append(len(lines) + 1)
+                lines += [" ".join(w), " ".join(v), " ".join(far)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    dropped = {r["doc_id"] for r in got(QUERIES["op10_line_dedup"](spark, str(tmp_path))) if r["n_dropped"]}
+    assert dropped == set(near)
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline as cp
 
