@@ -36,23 +36,21 @@ def m9_bias_baseline(spark, d):
 
 # ---- hybrid model (rows-only checks: a different optimiser than the reference) ----
 from placerank.models import als, hybrid  # noqa: E402
+from placerank.models.common import materialize  # noqa: E402
 from placerank.operators import metrics, prepare as pr, score  # noqa: E402
+from placerank.plans.catalog_prepare import f4_business_features_prepared, f5_user_features_prepared  # noqa: E402
 from placerank.plans.catalog_scoring import M3_SQL, fixture_model  # noqa: E402
-from placerank.sources import fixtures as fx  # noqa: E402
 
-HYBRID = hybrid.HybridParams(n_factors=20, n_epochs=5, reg=0.02, alpha=1e-3, beta=1e-3, seed=23)
-USER_SIDE = ["fans", "compliment_hot", "average_stars", "review_count"]
-ITEM_SIDE = ["latitude", "longitude", "stars", "review_count"]
+HYBRID = hybrid.HybridParams(n_factors=50, n_epochs=5, reg=0.02, alpha=1e-3, beta=1e-3, seed=23)
 
 
 def side_features(spark, d):
-    u = fx.users(spark, d).select("user_id", *[F.col(c).cast("double").alias(c) for c in USER_SIDE])
-    u = pr.standardize(u, USER_SIDE)
-    b = fx.business(spark, d).select("business_id", *[F.col(c).cast("double").alias(c) for c in ITEM_SIDE])
-    b = pr.standardize(b, ITEM_SIDE)
-    uf = u.select("user_id", F.array(*USER_SIDE).alias("features"))
-    bf = b.select("business_id", F.array(*ITEM_SIDE).alias("features"))
-    return uf, bf
+    """The prepared user and business tables (F5, F4) as one vector per id, of all columns but the id."""
+    def vectors(t, key):
+        cols = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in t.columns if c != key]
+        return materialize(t.select(key, F.array(*cols).alias("features")))   # read several times by a fit
+
+    return vectors(f5_user_features_prepared(spark, d), "user_id"), vectors(f4_business_features_prepared(spark, d), "business_id")
 
 
 def fit_fixture_hybrid(spark, d, params=HYBRID):
@@ -165,7 +163,7 @@ def a31_best_model_per_metric(spark, d):
 
 # ---- grid search over the reference's alpha x beta grid (rows-only) ----
 GRID_ALPHAS, GRID_BETAS = [0.001, 0.01, 0.1], [0.003, 0.01]
-GRID_BASE = hybrid.HybridParams(n_factors=8, n_epochs=1, reg=0.02, seed=23)
+GRID_BASE = hybrid.HybridParams(n_factors=50, n_epochs=10, reg=0.05, seed=23)
 
 
 def _grid(spark, d):
@@ -188,7 +186,7 @@ def a30_grid_pivot(spark, d):
 # ---- SVD++ (rows-only) ----
 from placerank.models import svdpp  # noqa: E402
 
-SVDPP = svdpp.SvdppParams(n_factors=20, n_epochs=5, reg=0.02, seed=23)
+SVDPP = svdpp.SvdppParams(n_factors=50, n_epochs=20, reg=0.02, seed=23)
 
 
 @query("m11_svdpp_test_metrics")
@@ -196,3 +194,31 @@ def m11_svdpp_test_metrics(spark, d):
     tt = train_test(spark, d)
     m = svdpp.fit_svdpp(tt.filter(F.col("split") == "train"), SVDPP)
     return round_doubles(metrics.evaluate(svdpp.predict_svdpp(m, tt.filter(F.col("split") == "test"))))
+
+
+# ---- model comparison over the fitted models (rows-only; the queries with SQL twins compare what SQL can express) ----
+def _fitted_predictions(spark, d):
+    tt = train_test(spark, d)
+    train, test = tt.filter(F.col("split") == "train"), tt.filter(F.col("split") == "test")
+    mf = als.fit_biased_mf(train, rank=50, max_iter=20, reg=0.02, seed=23, baseline_epochs=BASELINE_EPOCHS)
+    base = baseline.fit_baseline(train, n_epochs=BASELINE_EPOCHS)
+    preds = {"Baseline": baseline.predict_baseline(base, test),
+             "SVD": als.predict_biased_mf(mf, test),
+             "SVD++": svdpp.predict_svdpp(svdpp.fit_svdpp(train, SVDPP), test),
+             "NMF": als.predict_nmf(als.fit_nmf(train, rank=50, max_iter=50, seed=23), test),
+             "Hybrid": score.predict_test(fit_fixture_hybrid(spark, d)[1].factor_model(), test)}
+    out = None
+    for name, p in preds.items():
+        p = p.select("user_id", "business_id", "actual_rating", "predicted_rating", F.lit(name).alias("model"))
+        out = p if out is None else out.unionByName(p)
+    return materialize(out)   # read once per model
+
+
+@query("m14_compare_fitted_models")
+def m14_compare_fitted_models(spark, d):
+    return round_doubles(model_metrics(_fitted_predictions(spark, d)))
+
+
+@query("a31_best_fitted_model_per_metric")
+def a31_best_fitted_model_per_metric(spark, d):
+    return round_doubles(metrics.compare_models(model_metrics(_fitted_predictions(spark, d))))

@@ -101,3 +101,20 @@ def test_svdpp_training_error_falls(spark):
     assert hist[-1] < hist[0] and all(np.isfinite(hist))
     preds = svdpp.predict_svdpp(m, r).toPandas()
     assert preds.predicted_rating.between(1, 5).all()
+
+
+def test_fixture_models_have_the_references_size(spark):
+    from placerank.plans import catalog, catalog_models as cm
+    from placerank.plans.registry import QUERIES
+
+    catalog.load_all()
+    h, g, v = cm.HYBRID, cm.GRID_BASE, cm.SVDPP
+    assert (h.n_factors, h.n_epochs, h.reg, h.alpha, h.beta) == (50, 5, 0.02, 1e-3, 1e-3)
+    assert (g.n_factors, g.n_epochs, g.reg) == (50, 10, 0.05) and (v.n_factors, v.n_epochs, v.reg) == (50, 20, 0.02)
+    d = "/root/testdata/sf0.001"
+    for (got, name, key) in zip(cm.side_features(spark, d), ("f5_user_features_prepared", "f4_business_features_prepared"),
+                                ("user_id", "business_id"), strict=True):
+        table = QUERIES[name](spark, d)
+        want = {r[key]: [float(r[c] or 0) for c in table.columns if c != key] for r in table.collect()}
+        assert want and {r[key]: r["features"] for r in got.collect()} == want
+    assert {"m14_compare_fitted_models", "a31_best_fitted_model_per_metric"} <= set(QUERIES)
