@@ -13,6 +13,7 @@ from placerank.llm.mixing import mix_sources
 from placerank.llm.near_dedup import near_duplicates
 from placerank.llm.pii import find_pii
 from placerank.llm.quality import classify
+from placerank.llm.secret_scan import find_secrets
 from placerank.llm.spelling import spelling_variants
 from placerank.llm.substring_dedup import remove_repeats
 from placerank.llm.warc import archive_pages
@@ -63,10 +64,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_near_dedup, op3_warc, op4_quality, op5_license_scan, op6_substring_dedup,
-                                   op7_decontaminate, op8_mixing, op9_exact_dedup, op10_line_dedup, op13_spelling_variants)}
+                                   op7_decontaminate, op8_mixing, op9_exact_dedup, op10_line_dedup, op12_secret_scan, op13_spelling_variants)}
 ORACLES = {"op9_exact_dedup": exact.ORACLE}
