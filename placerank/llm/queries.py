@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placerank.llm import exact_dedup as exact
+from placerank.llm import hard_negatives as hard
 from placerank.llm.common import table
 from placerank.llm.decontaminate import decontaminate
 from placerank.llm.license_scan import license_scan
@@ -64,6 +65,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row is given the next label, as its contract says."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard.hard_negatives(rows.withColumn("label", label))
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents")).drop("found")
 
@@ -73,5 +81,5 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_near_dedup, op3_warc, op4_quality, op5_license_scan, op6_substring_dedup,
-                                   op7_decontaminate, op8_mixing, op9_exact_dedup, op10_line_dedup, op12_secret_scan, op13_spelling_variants)}
-ORACLES = {"op9_exact_dedup": exact.ORACLE}
+                                   op7_decontaminate, op8_mixing, op9_exact_dedup, op10_line_dedup, op11_hard_negatives, op12_secret_scan, op13_spelling_variants)}
+ORACLES = {"op9_exact_dedup": exact.ORACLE, "op11_hard_negatives": hard.ORACLE}
