@@ -1,22 +1,23 @@
 """Spelling variants: words one edit apart, found by walking a relational trie.
 
-The trie is a table of nodes. A node is a prefix (a hash of it) after which the words go on in more than one
-way; each of its edges has the text up to the next node. Words are kept forwards and backwards. A word
-enters at the deepest node inside its half that the edit does not touch: its first half forwards, its last half
-backwards. From there a frontier of (word, position, node, edits) states is joined with the edges, one level of
-the trie after the other; a state that ends a word after one edit is a neighbour.
+The trie is a table of edges. A node is a prefix (a hash of it) after which the words go on in more than one way; an
+edge has the text up to the next node, or to the end of a word. Words are kept forwards and backwards, since an edit
+leaves one half of a word as it is: an edit in the last half is looked for forwards, one in the first half backwards, so
+the crowded nodes near the root are never needed. A word's states (word, position, node, edits) enter where its own
+path has nodes beyond the untouched half, as an edit can leave the path only there. The frontier is joined with the
+edges level by level: the first edge takes the edit, the others are read as they are, and a state that ends a word
+after one edit is a neighbour.
 """
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placerank.llm.common import ascii_lower, saved, whole_text
 
 LETTERS = "[A-Za-zÀ-ÿ]"
-FIRST = 3              # depth of the roots; half of the shortest word
 SPREAD = 100_000       # words below a node for each copy of its edges
 
 
@@ -32,112 +33,77 @@ def word_counts(docs: DataFrame, *, min_length: int = 7, min_count: int = 2, eve
     return words.filter(F.length("word") >= min_length).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
 
 
-def _part(s: Column, start: Column, n: Column) -> Column:
-    """n code points of s after the first ``start``."""
-    return F.substring(s, start + 1, n)
-
-
-def _prefixes(sides: DataFrame) -> DataFrame:
-    """Each prefix from FIRST code points on: its node, and what follows it as a hash."""
-    each = sides.select("*", F.explode(F.sequence(F.lit(FIRST), F.length("s"))).alias("depth"))
-    return each.select("*", F.xxhash64("side", F.substring("s", F.lit(1), F.col("depth"))).alias("node"),
-                       F.xxhash64(_part(F.col("s"), F.col("depth"), F.lit(1))).alias("next"))
+def _prefixes(words: DataFrame) -> DataFrame:
+    """(word, side, depth, node): the prefixes of each word and of its reverse, from the longest that a word one
+    code point shorter is entered at. Nodes are hashes of them."""
+    n = F.length("word")
+    sides = words.select("word", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("word").alias("s"), F.floor((n - 1) / 2).cast("int").alias("from")),
+        F.struct(F.lit(1).alias("side"), F.reverse("word").alias("s"), F.floor(n / 2).cast("int").alias("from")))).alias("x"))
+    each = sides.select("word", "x.*", F.explode(F.sequence(F.col("x.from"), F.length("word"))).alias("depth"))
+    return each.select("word", "side", "depth", F.xxhash64("side", F.substring("s", F.lit(1), F.col("depth"))).alias("node"),
+                       F.substring("s", F.col("depth") + 1, F.lit(1)).alias("next"))
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, entries). Edges, one row a node and copy: level, node, salt, to array<(label, child, copies, word, n)>,
-    where copies is 0 for a child without edges and word is null unless one ends at the child. Entries: the states
-    that words start with."""
-    sides = words.select("word", "n", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("word").alias("s")),
-        F.struct(F.lit(1).alias("side"), F.reverse("word").alias("s")))).alias("x")).select("word", "n", "x.*")
-    sides = sides.withColumn("wid", F.xxhash64("word").bitwiseAND(F.lit((1 << 62) - 1)))
-    pre = _prefixes(sides)
-    # the owner of a node hands its edge on: the word that ends there, else the one with the least number
-    owner = F.when(F.col("depth") == F.length("s"), F.col("wid") - (1 << 62)).otherwise(F.col("wid"))
-    inner = (pre.groupBy("node", "depth").agg(F.min("next").alias("a"), F.max("next").alias("b"), F.min(owner).alias("o"),
-                                              F.count("*").alias("below"))
-             .filter((F.col("depth") == FIRST) | (F.col("a") != F.col("b")))
-             .select("node", "depth", F.col("o").bitwiseAND(F.lit((1 << 62) - 1)).alias("owner"),
-                     (1 + F.floor(F.col("below") / SPREAD)).cast("int").alias("copies")))
-    paths = pre.drop("next").join(inner, ["node", "depth"]).groupBy("word", "n", "side", "s", "wid").agg(
-        F.sort_array(F.collect_list(F.struct("depth", "node", "copies", "owner"))).alias("inner"))
-    last = F.element_at("inner", -1)
-    leaf = F.struct(F.length("s").alias("depth"), F.lit(None).cast("long").alias("node"), F.lit(0).alias("copies"), F.col("wid").alias("owner"))
-    paths = paths.withColumn("path", F.when(last["depth"] == F.length("s"), F.col("inner"))
-                             .otherwise(F.concat("inner", F.array(leaf))))
-    paths = saved(paths, "paths")
-
-    steps = F.transform(F.slice("path", 2, F.size("path")), lambda c, i: F.struct(
-        i.alias("level"), F.get("path", i).alias("p"), c.alias("c")))
-    edge = paths.select("word", "n", "s", "wid", F.explode(F.filter(steps, lambda e: e["c"]["owner"] == F.col("wid"))).alias("e"))
-    ends = F.col("e.c.depth") == F.length("s")
-    to = F.struct(_part(F.col("s"), F.col("e.p.depth"), F.col("e.c.depth") - F.col("e.p.depth")).alias("label"),
-                  F.col("e.c.node").alias("child"), F.col("e.c.copies").alias("copies"),
-                  F.when(ends, F.col("word")).alias("word"), F.when(ends, F.col("n")).alias("n"))
-    edges = edge.groupBy(F.col("e.level").alias("level"), F.col("e.p.node").alias("node"), F.col("e.p.copies").alias("copies")).agg(
-        F.collect_list(to).alias("to"))
-    edges = edges.select("level", "node", "to", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    """(edges, entries). Edges: node, salt, label, child, copies, near, near_n; child is null where the word ``near`` ends.
+    Entries: word, n, s, pos, node, salt. A node with many words below has copies of its edges, one a salt."""
+    prefixes = _prefixes(words)
+    after = F.when(F.col("next") == "", 0).otherwise(F.ascii("next"))
+    nodes = (prefixes.select("node", after.alias("a")).groupBy("node").agg(F.min("a").alias("a"), F.max("a").alias("b"), F.count("*").alias("n"))
+             .filter(F.col("a") != F.col("b")).select("node", (1 + F.floor(F.col("n") / SPREAD)).cast("int").alias("copies")))
+    path = Window.partitionBy("word", "side").orderBy("depth")
+    steps = prefixes.drop("next").join(nodes, "node").repartition("word").select(
+        "*", *[F.lead(c).over(path).alias(f"next_{c}") for c in ("depth", "node", "copies")])
+    steps = steps.join(words, "word").withColumn("s", F.when(F.col("side") == 0, F.col("word")).otherwise(F.reverse("word")))
+    steps = saved(steps, "steps")
+
+    ends = F.col("next_node").isNull()
+    label = F.substring("s", F.col("depth") + 1, F.coalesce(F.col("next_depth"), F.length("s")) - F.col("depth"))
+    edges = steps.select("node", "copies", label.alias("label"), F.col("next_node").alias("child"), F.coalesce("next_copies", F.lit(0)).alias("next"),
+                         F.when(ends, F.col("word")).alias("near"), F.when(ends, F.col("n")).alias("near_n"))
+    inner = edges.filter("child is not null").dropDuplicates(["node", "child"])
+    edges = inner.unionByName(edges.filter("child is null")).select(
+        "node", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), "label", "child", F.col("next").alias("copies"), "near", "near_n")
 
     half = F.floor(F.length("s") / 2).cast("int")
-    whole = F.when(F.col("side") == 0, half).otherwise(F.length("s") - half)
-    entry = paths.select("word", "n", "s", "wid", whole.alias("whole"), "path")
-    level = F.size(F.filter("path", lambda p: (p["copies"] > 0) & (p["depth"] <= F.col("whole")))) - 1
-    entry = entry.withColumn("level", level).withColumn("at", F.get("path", F.col("level")))
-    entries = entry.select("level", "word", "n", "s", "whole", F.col("at.depth").alias("pos"), F.col("at.node").alias("node"),
-                           F.pmod("wid", F.col("at.copies")).cast("int").alias("salt"), F.lit(0).alias("edits"))
-    return (saved(edges.repartition("node").sortWithinPartitions("level"), "edges"),
-            saved(entries.sortWithinPartitions("level"), "entries"))
-
-
-def _moves(e: Column) -> Column:
-    """States that one edge leads to: its label read as it is, with one code point replaced, or with one left out
-    of the word. Words that are one longer than the searched one find it from their side."""
-    s, pos, m = F.col("s"), F.col("pos"), F.length(e["label"])
-    left = F.length("s") - pos
-    read, longer = _part(s, pos, m), _part(s, pos, m + 1)
-    fixed = F.greatest(F.col("whole") - pos, F.lit(0))
-    may = (F.col("edits") == 0) & (F.substring(read, F.lit(1), fixed) == F.substring(e["label"], F.lit(1), fixed))
-
-    def state(when: Column, pos: Column, edits: Column) -> Column:
-        return F.when(when, F.struct(pos.alias("pos"), edits.alias("edits"), e["child"].alias("node"), e["copies"].alias("copies"),
-                                     e["word"].alias("near"), e["n"].alias("near_n")))
-
-    one = F.lit(1)
-    return F.array(
-        state((m <= left) & (read == e["label"]), pos + m, F.col("edits")),
-        state((m <= left) & may & (F.levenshtein(read, e["label"], 1) == 1), pos + m, one),
-        state((m < left) & may & (F.levenshtein(longer, e["label"], 1) == 1), pos + m + 1, one))
+    own = F.col("depth") >= F.when(F.col("side") == 0, half).otherwise(F.length("s") - half)
+    entries = steps.filter(own & (F.col("depth") < F.length("s"))).select(
+        "word", "n", "s", F.col("depth").alias("pos"), "node", F.pmod(F.xxhash64("word"), "copies").cast("int").alias("salt"))
+    return saved(edges, "edges"), entries
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """Pairs (word, n, near, near_n) of words with exactly one code point inserted, deleted or replaced; each pair
-    both ways. ``words``: (word, n), words distinct and of 2 * FIRST code points or more."""
-    edges, entries = trie(words)
-    levels = edges.agg(F.max("level")).first()[0]
-    if levels is None:
-        return words.select("word", "n", F.col("word").alias("near"), F.col("n").alias("near_n")).limit(0)
-    cols = ["word", "n", "s", "whole", "pos", "node", "salt", "edits"]
-    found, frontier = [], None
-    for level in range(levels + 1):
-        here = entries.filter(F.col("level") == level).select(cols)
-        here = here if frontier is None else here.unionByName(frontier)
-        to = edges.filter(F.col("level") == level).select("node", "salt", "to")
-        moves = F.filter(F.flatten(F.transform("to", _moves)), lambda x: x.isNotNull())
-        step = here.join(to, ["node", "salt"]).select("word", "n", "s", "whole", F.explode(moves).alias("x"))
-        ended = (F.col("x.edits") == 1) & F.col("x.near").isNotNull() & (F.col("x.pos") == F.length("s"))
-        goes_on = (F.col("x.copies") > 0) & (F.col("x.pos") < F.length("s"))
-        step = saved(step.filter(ended | goes_on).select("word", "n", "s", "whole", "x.*").distinct(), "frontier")
-        found.append(step.filter((F.col("edits") == 1) & F.col("near").isNotNull() & (F.col("pos") == F.length("s")))
-                     .select("word", "n", "near", "near_n"))
-        frontier = step.filter((F.col("copies") > 0) & (F.col("pos") < F.length("s"))).withColumn(
-            "salt", F.pmod(F.xxhash64("word").bitwiseAND(F.lit((1 << 62) - 1)), "copies").cast("int")).select(cols)
-    pairs = reduce(DataFrame.unionByName, found)
+    both ways. ``words``: (word, n), words distinct. The walk replaces a code point or leaves one out of the word; a
+    word that is one longer finds the shorter one."""
+    edges, frontier = trie(words)
+    s, pos, label, m = F.col("s"), F.col("pos"), F.col("label"), F.length("label")
+    left = F.length(s) - pos
+    off = F.substring(label, F.lit(1), F.lit(1)) != F.substring(s, pos + 1, F.lit(1))
+    replaced = off & (m > 0) & (m <= left) & (F.substring(s, pos + 2, m - 1) == F.substring(label, F.lit(2), m - 1))
+    left_out = off & (m < left) & (F.substring(s, pos + 2, m) == label)
+    as_is = (m <= left) & (F.substring(s, pos + 1, m) == label)
+    found, first = [], True
+    while True:
+        on = frontier.join(edges, ["node", "salt"])
+        if first:
+            on = on.filter(replaced | left_out).select("word", "n", "s", "child", "copies", "near", "near_n", F.explode(F.array(
+                F.when(replaced, pos + m), F.when(left_out, pos + m + 1))).alias("pos")).filter("pos is not null")
+        else:
+            on = on.filter(as_is).select("word", "n", "s", "child", "copies", "near", "near_n", (pos + m).alias("pos"))
+        step = saved(on.filter(F.col("child").isNotNull() | (pos == F.length(s))), "frontier")
+        found.append(step.filter("child is null").select("word", "n", "near", "near_n"))
+        frontier = step.filter("child is not null").select(
+            "word", "n", "s", "pos", F.col("child").alias("node"), F.pmod(F.xxhash64("word"), F.greatest("copies", F.lit(1))).cast("int").alias("salt")).distinct()
+        first = False
+        if frontier.isEmpty():
+            break
     # nodes are hashes, so the words themselves are compared
-    pairs = pairs.filter(F.levenshtein("word", "near", 1) == 1)
+    pairs = reduce(DataFrame.unionByName, found).filter(F.levenshtein("word", "near", 1) == 1)
     both = F.array(F.struct("word", "n", "near", "near_n"), F.struct(
         F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
-    return (pairs.select(F.explode(both).alias("p")).select("p.*").repartition("word").dropDuplicates(["word", "near"]))
+    return pairs.select(F.explode(both).alias("p")).select("p.*").repartition("word").dropDuplicates(["word", "near"])
 
 
 def _roots(forms: DataFrame) -> DataFrame:
@@ -161,8 +127,6 @@ def spelling_variants(docs: DataFrame, *, min_length: int = 7, min_count: int =
     without words the result is empty. Words of any length are taken whole. Other columns are ignored. Only
     words are shuffled; edges of a node with many words below are copied and the states spread over the copies.
     """
-    if min_length < 2 * FIRST:
-        raise ValueError(f"words need at least {2 * FIRST} code points")
     words = saved(word_counts(docs, min_length=min_length, min_count=min_count, every=every), "words")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))).alias("best")
     near = neighbours(words).groupBy("word").agg(F.count("*").alias("n_near"), best)
