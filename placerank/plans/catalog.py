@@ -9,6 +9,7 @@ MODULES = [
     "placerank.plans.catalog_prepare",
     "placerank.plans.catalog_scoring",
     "placerank.plans.catalog_models",
+    "placerank.plans.catalog_one_factor",
     "placerank.plans.catalog_text",
     "placerank.plans.catalog_misc",
 ]
