@@ -12,12 +12,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placerank.llm.common import ascii_lower, saved, whole_text
 
 LETTERS = "[A-Za-zÀ-ÿ]"
+AHEAD = 2              # code points that are looked ahead
 SPREAD = 100_000       # words below a node for each copy of its edges
 
 
@@ -42,29 +43,39 @@ def _prefixes(words: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("side"), F.reverse("word").alias("s"), F.floor(n / 2).cast("int").alias("from")))).alias("x"))
     each = sides.select("word", "x.*", F.explode(F.sequence(F.col("x.from"), F.length("word"))).alias("depth"))
     return each.select("word", "side", "depth", F.xxhash64("side", F.substring("s", F.lit(1), F.col("depth"))).alias("node"),
-                       F.substring("s", F.col("depth") + 1, F.lit(1)).alias("next"))
+                       F.substring("s", F.col("depth") + 1, F.lit(AHEAD)).alias("next"))
+
+
+def _bits(after: Column) -> Column:
+    """A mark of the next code point (low half of the number) and of the next AHEAD ones (high half)."""
+    def bit(c: Column, shift: int) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(32)).cast("int") + shift)
+
+    return bit(F.substring(after, 1, 1), 0).bitwiseOR(bit(after, 32))
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, entries). Edges: node, salt, label, child, copies, near, near_n; child is null where the word ``near`` ends.
+    """(edges, entries). Edges: node, salt, label, child, copies, ahead, near, near_n; child is null where the word ``near``
+    ends, ``ahead`` marks what follows the child, so a state that cannot go on is not kept.
     Entries: word, n, s, pos, node, salt. A node with many words below has copies of its edges, one a salt."""
     prefixes = _prefixes(words)
     after = F.when(F.col("next") == "", 0).otherwise(F.ascii("next"))
-    nodes = (prefixes.select("node", after.alias("a")).groupBy("node").agg(F.min("a").alias("a"), F.max("a").alias("b"), F.count("*").alias("n"))
-             .filter(F.col("a") != F.col("b")).select("node", (1 + F.floor(F.col("n") / SPREAD)).cast("int").alias("copies")))
+    nodes = (prefixes.select("node", after.alias("a"), _bits(F.col("next")).alias("m")).groupBy("node").agg(
+        F.min("a").alias("a"), F.max("a").alias("b"), F.bit_or("m").alias("ahead"), F.count("*").alias("n"))
+        .filter(F.col("a") != F.col("b")).select("node", "ahead", (1 + F.floor(F.col("n") / SPREAD)).cast("int").alias("copies")))
     path = Window.partitionBy("word", "side").orderBy("depth")
     steps = prefixes.drop("next").join(nodes, "node").repartition("word").select(
-        "*", *[F.lead(c).over(path).alias(f"next_{c}") for c in ("depth", "node", "copies")])
+        "*", *[F.lead(c).over(path).alias(f"next_{c}") for c in ("depth", "node", "copies", "ahead")])
     steps = steps.join(words, "word").withColumn("s", F.when(F.col("side") == 0, F.col("word")).otherwise(F.reverse("word")))
     steps = saved(steps, "steps")
 
     ends = F.col("next_node").isNull()
     label = F.substring("s", F.col("depth") + 1, F.coalesce(F.col("next_depth"), F.length("s")) - F.col("depth"))
     edges = steps.select("node", "copies", label.alias("label"), F.col("next_node").alias("child"), F.coalesce("next_copies", F.lit(0)).alias("next"),
-                         F.when(ends, F.col("word")).alias("near"), F.when(ends, F.col("n")).alias("near_n"))
+                         F.col("next_ahead").alias("ahead"), F.when(ends, F.col("word")).alias("near"), F.when(ends, F.col("n")).alias("near_n"))
     inner = edges.filter("child is not null").dropDuplicates(["node", "child"])
     edges = inner.unionByName(edges.filter("child is null")).select(
-        "node", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), "label", "child", F.col("next").alias("copies"), "near", "near_n")
+        "node", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), "label", "child", F.col("next").alias("copies"), "ahead", "near", "near_n")
 
     half = F.floor(F.length("s") / 2).cast("int")
     own = F.col("depth") >= F.when(F.col("side") == 0, half).otherwise(F.length("s") - half)
@@ -88,11 +99,13 @@ def neighbours(words: DataFrame) -> DataFrame:
     while True:
         on = frontier.join(edges, ["node", "salt"])
         if first:
-            on = on.filter(replaced | left_out).select("word", "n", "s", "child", "copies", "near", "near_n", F.explode(F.array(
+            on = on.filter(replaced | left_out).select("word", "n", "s", "child", "copies", "ahead", "near", "near_n", F.explode(F.array(
                 F.when(replaced, pos + m), F.when(left_out, pos + m + 1))).alias("pos")).filter("pos is not null")
         else:
-            on = on.filter(as_is).select("word", "n", "s", "child", "copies", "near", "near_n", (pos + m).alias("pos"))
-        step = saved(on.filter(F.col("child").isNotNull() | (pos == F.length(s))), "frontier")
+            on = on.filter(as_is).select("word", "n", "s", "child", "copies", "ahead", "near", "near_n", (pos + m).alias("pos"))
+        mark = _bits(F.substring(s, pos + 1, F.lit(AHEAD)))
+        goes_on = F.col("child").isNotNull() & (F.col("ahead").bitwiseAND(mark) == mark)
+        step = saved(on.filter(goes_on | (F.col("child").isNull() & (pos == F.length(s)))).drop("ahead"), "frontier")
         found.append(step.filter("child is null").select("word", "n", "near", "near_n"))
         frontier = step.filter("child is not null").select(
             "word", "n", "s", "pos", F.col("child").alias("node"), F.pmod(F.xxhash64("word"), F.greatest("copies", F.lit(1))).cast("int").alias("salt")).distinct()
