@@ -2,31 +2,20 @@
 
 * deterministic initial factors from a hash of (id, component, seed) - the same
   on any partitioning and on retry (``randn`` is neither);
-* ``ridge_per_key``: one regularised least-squares solve per user (or item)
-  without ever holding a whole hot key in one task: a hot key's rows are split into
-  salted groups of bounded size, each group reduces to its Gram matrix with numpy,
-  the partial Gram matrices are summed by Spark's ``Summarizer`` (a partially
-  aggregated built-in), and the small systems are solved in Arrow batches; all
-  other keys are solved in the task that holds their rows;
 * ``materialize``: reliable checkpoint into ``spark.checkpoint.dir`` to cut the
   lineage of iterative jobs (survives executor loss; never ``localCheckpoint``).
 """
 from __future__ import annotations
 
 import math
-from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placerank.session import ensure_checkpoint_dir
 
-# Largest number of rating rows one task turns into one partial Gram matrix.
-MAX_GROUP_ROWS = 200_000
 # Keys whose systems are stacked and solved at once (100 factors: 80 kB a key).
 SOLVE_BLOCK = 256
 
@@ -61,104 +50,6 @@ def normal_matrix(rows: int, cols: int, seed: int, scale: float = 0.1) -> np.nda
     return np.random.default_rng(seed).normal(0.0, scale, (rows, cols))
 
 
-def _solve_batch(G: np.ndarray, H: np.ndarray, n: np.ndarray, reg: float) -> np.ndarray:
-    dim = G.shape[-1]
-    A = G + (reg * n.astype(np.float64))[:, None, None] * np.eye(dim)[None, :, :]
-    return np.linalg.solve(A, H[:, :, None])[:, :, 0]
-
-
-def _gram_runs(batches, by: list[str]):
-    """((values of ``by``), Z'Z, Z't, n) of each run of rows equal in ``by``; a run may cross batches."""
-    carry = None
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        ids = [pdf[c].to_numpy() for c in by]
-        Z = np.stack(pdf["z"].to_numpy()).astype(np.float64)
-        T = pdf["t"].to_numpy(dtype=np.float64)
-        cut = np.nonzero(np.any([v[1:] != v[:-1] for v in ids], axis=0))[0] + 1
-        for a, b in zip(np.r_[0, cut], np.r_[cut, len(pdf)]):
-            run, Zr = tuple(v[a] for v in ids), Z[a:b]
-            G, h = Zr.T @ Zr, Zr.T @ T[a:b]
-            if carry is not None and carry[0] == run:
-                carry = (run, carry[1] + G, carry[2] + h, carry[3] + (b - a))
-            else:
-                if carry is not None:
-                    yield carry
-                carry = (run, G, h, b - a)
-    if carry is not None:
-        yield carry
-
-
-def _blocks(runs):
-    """Lists of at most SOLVE_BLOCK runs, which bounds the stacked Gram matrices in memory."""
-    runs = iter(runs)
-    while block := list(islice(runs, SOLVE_BLOCK)):
-        yield block
-
-
-def _stacked(runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return (np.stack([r[1] for r in runs]), np.stack([r[2] for r in runs]),
-            np.array([r[3] for r in runs], dtype=np.int64))
-
-
-def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """Keys with more than MAX_GROUP_ROWS rows and their salt count -> (key, _s).
-
-    At most (rows / MAX_GROUP_ROWS) keys can qualify, so the table has a proven size bound
-    and is always broadcast."""
-    return (rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > MAX_GROUP_ROWS)
-            .select(key, F.ceil(F.col("_n") / F.lit(MAX_GROUP_ROWS)).cast("long").alias("_s")))
-
-
-def ridge_per_key(rows: DataFrame, key: str, dim: int, reg: float, hot: DataFrame | None = None) -> DataFrame:
-    """Solve ``(Z'Z + reg * n * I) w = Z't`` for every key.
-
-    rows: (key, z ARRAY<DOUBLE> of length dim, t DOUBLE).  -> (key, w ARRAY<DOUBLE>, n LONG).
-
-    Keys with at most MAX_GROUP_ROWS rows are shuffled by key; each task walks its sorted rows
-    once, forms the Gram matrix of every key's run with numpy and solves SOLVE_BLOCK keys at a
-    time. The other (hot) keys take a path of their own: their rows are spread over
-    ceil(n / MAX_GROUP_ROWS) salts, so no task holds an unbounded group, and the partial Gram
-    matrices are added up by a partially aggregated ``Summarizer.sum`` before the solve. Every
-    row passes the Python step once; without hot keys the second path reads nothing (AQE drops
-    a join with an empty broadcast).
-    """
-    key_type = dict(rows.dtypes)[key]
-    hot = F.broadcast(hot_keys(rows, key) if hot is None else hot)
-    rows = rows.select(key, "z", "t")
-
-    def solve_runs(batches):
-        for runs in _blocks(_gram_runs(batches, [key])):
-            G, H, n = _stacked(runs)
-            yield pd.DataFrame({key: [r[0][0] for r in runs], "w": list(_solve_batch(G, H, n, reg)), "n": n})
-
-    def partial_runs(batches):
-        for runs in _blocks(_gram_runs(batches, [key, "_salt"])):
-            G, H, n = _stacked(runs)
-            yield pd.DataFrame({key: [r[0][0] for r in runs], "g": [g.ravel() for g in G], "h": list(H), "n": n})
-
-    cold = (rows.join(hot, key, "left_anti").repartition(key).sortWithinPartitions(key)
-            .mapInPandas(solve_runs, f"{key} {key_type}, w array<double>, n long"))
-    parts = (rows.join(hot, key).withColumn("_salt", F.pmod(F.xxhash64(F.col("z")), F.col("_s"))).drop("_s")
-             .repartition(key, "_salt").sortWithinPartitions(key, "_salt")
-             .mapInPandas(partial_runs, f"{key} {key_type}, g array<double>, h array<double>, n long"))
-
-    @F.pandas_udf("array<double>")
-    def solve(g: pd.Series, h: pd.Series, n: pd.Series) -> pd.Series:
-        if len(g) == 0:
-            return pd.Series([], dtype=object)
-        G = np.stack(g.to_numpy()).reshape(-1, dim, dim)
-        return pd.Series(list(_solve_batch(G, np.stack(h.to_numpy()), n.to_numpy(), reg)))
-
-    salted = (parts.select(key, array_to_vector("g").alias("g"), array_to_vector("h").alias("h"), "n")
-              .groupBy(key).agg(Summarizer.sum(F.col("g")).alias("g"), Summarizer.sum(F.col("h")).alias("h"),
-                                F.sum("n").alias("n"))
-              .select(key, solve(vector_to_array("g"), vector_to_array("h"), F.col("n")).alias("w"), "n"))
-    return cold.unionByName(salted)
-
-
 # matrices up to this many entries are applied as a JVM expression (no Python worker)
 JVM_MATVEC_MAX_TERMS = 512
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from placerank.models import hybrid
+from placerank.models import hybrid, svdpp
 from placerank.operators import metrics, score
 from placerank.plans.catalog_scoring import MODEL, train_test
 from placerank.plans.registry import query, round_doubles, sql_round
@@ -132,3 +132,56 @@ def m8_grid_one_factor(spark, d):
     f'max(CASE WHEN beta = {b} THEN rmse END) AS "{b}"' for b in GRID_BETAS) + " FROM res GROUP BY alpha", [f'"{b}"' for b in GRID_BETAS]))
 def a30_grid_pivot_one_factor(spark, d):
     return round_doubles(metrics.grid_pivot(_grid(spark, d)))
+
+
+# ---- SVD++ with one factor: two epochs reach the line search of the implicit factors ----
+def _svdpp_sql() -> str:
+    f, y = "((id * 31 + 7) % 200 - 100) / CAST(100 AS DOUBLE)", "((id * 17 + 3) % 100 - 50) / CAST(500 AS DOUBLE)"
+    out = f"""
+    rr AS MATERIALIZED (SELECT user_id, business_id, CAST(stars AS DOUBLE) AS r FROM split WHERE split = 'train'),
+    mu1 AS MATERIALIZED (SELECT avg(r) AS mu FROM rr),
+    i0 AS MATERIALIZED (SELECT id, CAST(0 AS DOUBLE) AS b, {f} AS q, {y} AS y, CAST(0 AS DOUBLE) AS g
+        FROM (SELECT DISTINCT business_id AS id FROM rr)),"""
+
+    def solve(name: str, rows: str) -> str:
+        return f"""
+    {name} AS MATERIALIZED (SELECT id, (h1 * a22 - a12 * h2) / (a11 * a22 - a12 * a12) AS b, (a11 * h2 - a12 * h1) / (a11 * a22 - a12 * a12) AS f
+        FROM (SELECT id, count(*) * 1.02 AS a11, sum(z) AS a12, sum(z * z) + 0.02 * count(*) AS a22, sum(t) AS h1, sum(z * t) AS h2
+              FROM {rows} GROUP BY id)),"""
+
+    for e in range(1, EPOCHS + 1):
+        out += f"""
+    p{e} AS MATERIALIZED (SELECT r.user_id AS id, sum(i.y) / sqrt(count(*)) AS imp, sum(i.g) / sqrt(count(*)) AS h, count(*) AS n
+        FROM rr r JOIN i{e - 1} i ON i.id = r.business_id GROUP BY r.user_id),
+    zu{e} AS MATERIALIZED (SELECT r.user_id AS id, i.q AS z, r.r - (SELECT mu FROM mu1) - i.b - i.q * p.imp AS t, p.h
+        FROM rr r JOIN i{e - 1} i ON i.id = r.business_id JOIN p{e} p ON p.id = r.user_id),"""
+        out += solve(f"u{e}", f"zu{e}")
+        out += f"""
+    eu{e} AS MATERIALIZED (SELECT z.id, z.z, z.t - u.b - u.f * z.z AS err, z.z * z.h AS d FROM zu{e} z JOIN u{e} u ON u.id = z.id),
+    st{e} AS MATERIALIZED (SELECT CASE WHEN below > 0 THEN (0.02 * yg - ed) / below ELSE 0.0 END AS s FROM (
+        SELECT sum(err * d) AS ed, sum(d * d) + 0.02 * (SELECT sum(g * g) FROM i{e - 1}) AS below, (SELECT sum(y * g) FROM i{e - 1}) AS yg FROM eu{e})),
+    m{e} AS MATERIALIZED (SELECT u.id, u.b, u.f + p.imp - (SELECT s FROM st{e}) * p.h AS f, x.e / sqrt(p.n) AS gs
+        FROM u{e} u JOIN p{e} p ON p.id = u.id JOIN (SELECT id, sum(err * z) AS e FROM eu{e} GROUP BY id) x ON x.id = u.id),
+    zi{e} AS MATERIALIZED (SELECT r.business_id AS id, m.f AS z, r.r - (SELECT mu FROM mu1) - m.b AS t, m.gs FROM rr r JOIN m{e} m ON m.id = r.user_id),"""
+        out += solve(f"q{e}", f"zi{e}")
+        out += f"""
+    i{e} AS MATERIALIZED (SELECT o.id, q.b, q.f AS q, o.y - (SELECT s FROM st{e}) * o.g AS y,
+            0.02 * (o.y - (SELECT s FROM st{e}) * o.g) - x.gs AS g
+        FROM i{e - 1} o JOIN q{e} q ON q.id = o.id JOIN (SELECT id, sum(gs) AS gs FROM zi{e} GROUP BY id) x ON x.id = o.id),"""
+    return out + f"""
+    test AS (SELECT t.user_id, t.business_id, CAST(t.stars AS DOUBLE) AS actual_rating, least(greatest((SELECT mu FROM mu1)
+            + coalesce(m.b, 0.0) + coalesce(i.b, 0.0) + coalesce(m.f * i.q, 0.0), 1.0), 5.0) AS predicted_rating
+        FROM (SELECT * FROM split WHERE split = 'test') t LEFT JOIN m{EPOCHS} m ON m.id = t.user_id LEFT JOIN i{EPOCHS} i ON i.id = t.business_id)"""
+
+
+@query("m11_svdpp_one_factor", sql_round(ctes("reviews", extra=MODEL + "," + _svdpp_sql())
+                                         + " SELECT user_id, business_id, actual_rating, predicted_rating FROM test", ["predicted_rating"]))
+def m11_svdpp_one_factor(spark, d):
+    tt = train_test(spark, d)
+    train = tt.filter(F.col("split") == "train")
+    b = F.col("business_id")
+    start = train.select("business_id").distinct().select(
+        "business_id", F.array((b * 31 + 7) % 200 - 100).cast("array<double>").alias("q"), F.array((b * 17 + 3) % 100 - 50).cast("array<double>").alias("y"))
+    start = start.select("business_id", F.transform("q", lambda v: v / 100.0).alias("q"), F.transform("y", lambda v: v / 500.0).alias("y"))
+    m = svdpp.fit_svdpp(train, svdpp.SvdppParams(n_factors=1, n_epochs=EPOCHS, reg=0.02), start)
+    return round_doubles(svdpp.predict_svdpp(m, tt.filter(F.col("split") == "test")))

@@ -3,7 +3,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from placerank.models import baseline, common, hybrid
+from placerank.models import baseline, blocks, hybrid, svdpp
 from placerank.operators import score
 
 
@@ -40,20 +40,6 @@ def test_score_pairs_null_for_unknown(spark):
     assert got[(0, 0)] is not None and got[(999, 0)] is None and got[(0, 999)] is None
 
 
-def test_ridge_per_key_matches_numpy_including_salted_keys(spark, monkeypatch):
-    monkeypatch.setattr(common, "MAX_GROUP_ROWS", 25)   # user 0 (120 rows) is split over 5 salts
-    rng = np.random.default_rng(5)
-    keys = np.r_[np.zeros(120, dtype=int), rng.integers(1, 10, 200)]
-    Z = rng.normal(size=(len(keys), 4))
-    t = rng.normal(size=len(keys))
-    df = spark.createDataFrame(pd.DataFrame({"k": keys, "z": list(Z), "t": t})).repartition(3)
-    got = {r.k: np.array(r.w) for r in common.ridge_per_key(df, "k", 4, 0.1).collect()}
-    for k in np.unique(keys):
-        m = keys == k
-        A = Z[m].T @ Z[m] + 0.1 * m.sum() * np.eye(4)
-        assert np.allclose(got[k], np.linalg.solve(A, Z[m].T @ t[m]))
-
-
 def _planted(spark, n_users=60, n_items=50, k=2, seed=1):
     rng = np.random.default_rng(seed)
     P, Q = rng.normal(size=(n_users, k)), rng.normal(size=(n_items, k))
@@ -93,8 +79,78 @@ def test_hybrid_with_features_runs_and_round_trips(spark, tmp_path):
     assert np.allclose(a.predicted_rating, b.predicted_rating)
 
 
+def _side_features(spark, n_users, n_items):
+    uf = spark.range(n_users).select(F.col("id").alias("user_id"), F.array((F.col("id") % 3).cast("double"), F.lit(1.0)).alias("features"))
+    return uf, spark.range(n_items).select(F.col("id").alias("business_id"), F.array((F.col("id") % 2).cast("double")).alias("features"))
+
+
+def _tables(m, user_cols, item_cols):
+    out = []
+    for df, key, cols in ((m.users, "user_id", user_cols), (m.items, "business_id", item_cols)):
+        pdf = df.orderBy(key).toPandas()
+        out += [np.stack([np.atleast_1d(v) for v in pdf[c]]) for c in cols]
+    return out
+
+
+def test_one_user_step_is_the_ridge_solution(spark):
+    r = _planted(spark, 12, 10)
+    start = spark.range(10).select(F.col("id").alias("business_id"), F.array(F.col("id") / 10.0, 1.0 - F.col("id") / 7.0).alias("factors"))
+    m = hybrid.fit_hybrid(r, hybrid.HybridParams(n_factors=2, n_epochs=1, reg=0.1, alpha=0, beta=0), item_start=start)
+    rows = r.toPandas()
+    mu = rows.stars.mean()
+    for u in m.users.collect():
+        mine = rows[rows.user_id == u.user_id]
+        z = np.array([[1.0, i / 10.0, 1.0 - i / 7.0] for i in mine.business_id])
+        w = np.linalg.solve(z.T @ z + 0.1 * len(z) * np.eye(3), z.T @ (mine.stars.to_numpy() - mu))
+        assert np.allclose([u.bu, *u.p], [w[0], *np.clip(w[1:], -5, 5)])
+
+
+def test_hot_ids_give_the_same_fits(spark, monkeypatch):
+    r = _planted(spark, 40, 30)
+    uf, bf = _side_features(spark, 40, 30)
+    p = hybrid.HybridParams(n_factors=2, n_epochs=3, alpha=0.1, beta=0.1, seed=1)
+    plain, plain_pp = hybrid.fit_hybrid(r, p, uf, bf), svdpp.fit_svdpp(r, svdpp.SvdppParams(n_factors=2, n_epochs=3))
+    monkeypatch.setattr(blocks, "CELL_ROWS", 16)      # about half of the ids have more ratings
+    assert blocks.Exchange(r.withColumnRenamed("stars", "r")).sides["user_id"].any_hot
+    hot, hot_pp = hybrid.fit_hybrid(r, p, uf, bf), svdpp.fit_svdpp(r, svdpp.SvdppParams(n_factors=2, n_epochs=3))
+    assert np.allclose(plain.history, hot.history) and np.allclose(plain_pp.history, hot_pp.history)
+    for a, b in zip(_tables(plain, ["bu", "p"], ["bi", "q"]), _tables(hot, ["bu", "p"], ["bi", "q"])):
+        assert np.allclose(a, b)
+    for a, b in zip(_tables(plain_pp, ["bu", "p", "imp"], ["bi", "q", "y"]), _tables(hot_pp, ["bu", "p", "imp"], ["bi", "q", "y"])):
+        assert np.allclose(a, b)
+    assert np.allclose(plain.w_u, hot.w_u) and np.allclose(plain.w_i, hot.w_i)
+
+
+def test_grid_equals_single_fits(spark):
+    from placerank.operators import metrics
+    r = _planted(spark, 30, 20)
+    uf, bf = _side_features(spark, 30, 20)
+    train, test = r.filter((F.col("user_id") + F.col("business_id")) % 4 != 0), r.filter((F.col("user_id") + F.col("business_id")) % 4 == 0)
+    test = test.unionByName(spark.createDataFrame([(999, 1, 2.0), (1, 999, 4.0)], r.schema))
+    base = hybrid.HybridParams(n_factors=2, n_epochs=2, seed=1)
+    got = {(x.alpha, x.beta): (x.rmse, x.mae) for x in hybrid.grid_search(train, test, base, [0.01, 0.5], [0.02, 0.3], uf, bf).collect()}
+    for (a, b), values in got.items():
+        m = hybrid.fit_hybrid(train, hybrid.HybridParams(n_factors=2, n_epochs=2, seed=1, alpha=a, beta=b), uf, bf)
+        one = metrics.rmse_mae(score.predict_test(m.factor_model(), test)).first()
+        assert np.allclose(values, (one.rmse, one.mae))
+    assert len(got) == 4
+
+
+def test_nonnegative_user_factors_solve_their_half_step(spark):
+    from placerank.models import als
+    r = _planted(spark, 20, 15)
+    _, model, users, items = als.fit_nmf(r, rank=1, max_iter=3, reg=0.1)
+    p = {x.id: x.features[0] for x in model.userFactors.collect()}
+    q = {x.id: x.features[0] for x in model.itemFactors.collect()}
+    iix = {x.business_id: x.iix for x in items.collect()}
+    rows = r.toPandas()
+    for u in users.collect():
+        mine = rows[rows.user_id == u.user_id]
+        f = np.array([q[iix[i]] for i in mine.business_id])
+        assert abs(p[u.uix] - max(0.0, (f @ mine.stars) / (f @ f + 0.1 * len(f)))) < 1e-4
+
+
 def test_svdpp_training_error_falls(spark):
-    from placerank.models import svdpp
     r = _planted(spark, 40, 30)
     m = svdpp.fit_svdpp(r, svdpp.SvdppParams(n_factors=2, n_epochs=3, reg=0.01, seed=2))
     hist = [h[1] for h in m.history]
