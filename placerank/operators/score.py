@@ -7,11 +7,11 @@ A model is three things: the global mean ``mu``, a user table
 ``uvec = p, ivec = q``; the hybrid model folds its feature terms in as
 ``uvec = [p + alpha*xWu, p]`` and ``ivec = [q, beta*yWi]`` (same prediction).
 
-Top-N for all users never materialises users x items: item vectors are
-broadcast in size-checked chunks, each task scores a batch of users against a
-chunk with one matrix product and keeps only each user's best
-``n + (items the user already rated)`` - enough to stay exact after the rated
-items are removed.
+Top-N for all users is a block join: users and items are dealt into blocks of bounded size, and
+a task has one block of users against one of items. Items lie by falling norm, so the Cauchy-Schwarz
+bound ``|u| |i| + bias`` tells which rest of the block cannot reach a user's best any more. Each block pair
+keeps a user's best ``n + (items the user already rated)``, which is enough after the rated items are
+taken out; ``row_number`` is cut per partition before its shuffle.
 """
 from __future__ import annotations
 
@@ -19,16 +19,18 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from placerank.functions.expr import clip, dot
+from placerank.models.common import materialize
 
-# Largest item block (bytes of vectors) sent to every executor at once.
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-# Users per matrix product inside a task (bounds the score block in memory).
-USER_BLOCK = 256
+BLOCK_USERS = 8_192
+BLOCK_ITEMS = 65_536
+# Users and items of one matrix product inside a task (bounds the score block in memory).
+STEP_USERS, STEP_ITEMS = 256, 4_096
 
 
 @dataclass
@@ -81,60 +83,79 @@ def top_n(scored: DataFrame, n: int, key: str = "user_id", score: str = "predict
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def _item_chunks(items: DataFrame, max_bytes: int) -> list[DataFrame]:
-    """Split the item table into chunks whose vectors fit ``max_bytes`` each (size-checked)."""
-    n_items, dim = items.agg(F.count(F.lit(1)), F.max(F.size("ivec"))).first()
-    if not n_items:
-        return []
-    n_chunks = max(1, math.ceil(n_items * ((dim or 0) + 2) * 8 / max_bytes))
-    if n_chunks == 1:
-        return [items]
-    return [items.filter(F.pmod(F.xxhash64("business_id"), F.lit(n_chunks)) == c) for c in range(n_chunks)]
-
-
-def _best_per_user(users: DataFrame, chunk: DataFrame, mu: float, n: int, min_rating: float | None) -> DataFrame:
-    """Per user, the ``n + n_rated`` best items of ``chunk`` by (score, smallest id)."""
-    sc = users.sparkSession.sparkContext
-    pdf = chunk.toPandas()   # size checked by _item_chunks
-    ids = pdf["business_id"].to_numpy()
-    bias = pdf["i_bias"].to_numpy(dtype=np.float64)
-    mat = np.vstack(pdf["ivec"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 0))
-    bc = sc.broadcast((ids, bias, mat))
-
-    def fn(batches):
-        ids_, bias_, mat_ = bc.value
-        for b in batches:
-            if not len(b) or not len(ids_):
-                continue
-            for s in range(0, len(b), USER_BLOCK):
-                blk = b.iloc[s:s + USER_BLOCK]
-                u = np.vstack(blk["uvec"].to_numpy()).astype(np.float64)
-                raw = mu + blk["u_bias"].to_numpy()[:, None] + bias_[None, :] + u @ mat_.T
-                scores = np.round(raw, 9)   # ranking key, as in top_n
-                out_u, out_i, out_s = [], [], []
-                for row, (uid, k) in enumerate(zip(blk["user_id"].to_numpy(), blk["n_rated"].to_numpy())):
-                    sr = scores[row]
-                    kk = min(int(n + k), sr.shape[0])
-                    cut = np.partition(sr, sr.shape[0] - kk)[sr.shape[0] - kk]
-                    above, level = np.nonzero(sr > cut)[0], np.nonzero(sr == cut)[0]
-                    if len(above) + len(level) > kk:   # ties at the cut go to the smallest ids
-                        level = level[np.argsort(ids_[level], kind="stable")[:kk - len(above)]]
-                    idx = np.concatenate([above, level])
-                    if min_rating is not None:
-                        idx = idx[raw[row][idx] >= min_rating]
-                    out_u.append(np.full(len(idx), uid))
-                    out_i.append(ids_[idx])
-                    out_s.append(raw[row][idx])
-                if out_u:
-                    yield pd.DataFrame({"user_id": np.concatenate(out_u), "business_id": np.concatenate(out_i),
-                                        "predicted_rating": np.concatenate(out_s)})
-
-    return users.mapInPandas(fn, f"user_id {dict(users.dtypes)['user_id']}, "
-                                 f"business_id {dict(chunk.dtypes)['business_id']}, predicted_rating double")
+def _arrays(rows: pa.Table, vec: str) -> np.ndarray:
+    col = rows.column(vec).combine_chunks()
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1) if len(col) else np.zeros((0, 0))
+
+
+def _block_scores(mu: float, n: int, min_rating: float | None, schema: pa.Schema):
+    """The Arrow function of one block pair: per user the best ``n + n_rated`` items by (score, smallest id)."""
+
+    def run(users: pa.Table, items: pa.Table) -> pa.Table:
+        out = []
+        if users.num_rows and items.num_rows:
+            v, bias, ids = _arrays(items, "ivec"), items.column("i_bias").to_numpy(), items.column("business_id").to_numpy()
+            norms = np.sqrt((v * v).sum(axis=1))
+            order = np.argsort(-norms, kind="stable")
+            v, bias, ids, norms = v[order], bias[order], ids[order], norms[order]
+            # the largest bias from here to the end of the block
+            top_bias = np.maximum.accumulate(bias[::-1])[::-1]
+            u, u_bias = _arrays(users, "uvec"), users.column("u_bias").to_numpy()
+            u_norm, uid = np.sqrt((u * u).sum(axis=1)), users.column("user_id").to_numpy()
+            want = n + users.column("n_rated").to_numpy()
+            for s in range(0, len(u), STEP_USERS):
+                rows = np.arange(s, min(s + STEP_USERS, len(u)))
+                best = {int(r): (np.zeros(0, np.int64), np.zeros(0)) for r in rows}
+                floor = np.full(len(rows), -np.inf if min_rating is None else min_rating)
+                for i in range(0, len(v), STEP_ITEMS):
+                    # rounding is to 9 places, so the bound has some room
+                    may = mu + u_bias[rows] + top_bias[i] + u_norm[rows] * norms[i] + 1e-6 >= floor
+                    if not may.any():
+                        break
+                    live = rows[may]
+                    raw = mu + u_bias[live][:, None] + bias[None, i:i + STEP_ITEMS] + u[live] @ v[i:i + STEP_ITEMS].T
+                    for row, scores in zip(live, raw):
+                        keep = np.flatnonzero(scores >= floor[row - s] - 1e-6)
+                        at, old = best[int(row)]
+                        at, scores = np.r_[at, keep + i], np.r_[old, scores[keep]]
+                        if min_rating is not None:
+                            good = scores >= min_rating
+                            at, scores = at[good], scores[good]
+                        if len(at) > want[row]:
+                            first = np.lexsort((ids[at], -np.round(scores, 9)))[:want[row]]
+                            at, scores = at[first], scores[first]
+                            floor[row - s] = max(floor[row - s], scores.min() - 1e-6)
+                        best[int(row)] = (at, scores)
+                out += [(np.full(len(at), r), at, scores) for r, (at, scores) in best.items() if len(at)]
+        if not out:
+            return schema.empty_table()
+        row, at, scores = (np.concatenate(c) for c in zip(*out))
+        return pa.Table.from_arrays([pa.array(uid[row], schema.field(0).type), pa.array(ids[at], schema.field(1).type), pa.array(scores)],
+                                    schema=schema)
+
+    return run
+
+
+def _candidates(users: DataFrame, items: DataFrame, mu: float, n: int, min_rating: float | None) -> DataFrame:
+    """Best ``n + n_rated`` items of every item block for ``users(user_id, u_bias, uvec, n_rated)``."""
+    n_users, n_items = users.count(), items.count()
+    user_blocks, item_blocks = math.ceil(max(n_users, 1) / BLOCK_USERS), math.ceil(max(n_items, 1) / BLOCK_ITEMS)
+
+    def dealt(df: DataFrame, key: str, own: str, of: int, other: str, others: int) -> DataFrame:
+        return df.select("*", F.pmod(F.xxhash64(key), F.lit(of)).cast("int").alias(own),
+                         F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)).groupBy("ub", "ib")
+
+    left = dealt(users, "user_id", "ub", user_blocks, "ib", item_blocks)
+    right = dealt(items, "business_id", "ib", item_blocks, "ub", user_blocks)
+    types = {"user_id": users.schema["user_id"].dataType, "business_id": items.schema["business_id"].dataType}
+    schema = pa.schema([(c, to_arrow_type(t)) for c, t in types.items()] + [("predicted_rating", pa.float64())])
+    return left.cogroup(right).applyInArrow(
+        _block_scores(mu, n, min_rating, schema),
+        ", ".join(f"{c} {t.simpleString()}" for c, t in types.items()) + ", predicted_rating double")
 
 
 def recommend_top_n(model: FactorModel, rated: DataFrame, n: int = 10, min_rating: float | None = 3.5,
-                    users: DataFrame | None = None, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                    users: DataFrame | None = None) -> DataFrame:
     """M4 / J11 / J12 / W3 - top ``n`` unrated items with score >= ``min_rating`` for every known
     user (or those in ``users``) -> (user_id, business_id, predicted_rating, rank).
 
@@ -147,30 +168,19 @@ def recommend_top_n(model: FactorModel, rated: DataFrame, n: int = 10, min_ratin
     n_rated = (rated.select("user_id", "business_id").join(model.items.select("business_id"), "business_id",
                                                              "left_semi")
                .distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rated")))
-    u = u.join(n_rated, "user_id", "left").fillna(0, subset=["n_rated"])
-    parts = [_best_per_user(u, c, model.mu, n, min_rating) for c in _item_chunks(_i(model), max_broadcast_bytes)]
-    if not parts:
-        return u.sparkSession.createDataFrame(
-            [], f"user_id {dict(u.dtypes)['user_id']}, business_id {dict(model.items.dtypes)['business_id']}, "
-                "predicted_rating double, rank int")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    # counted and read by each item block: once to the shared folder
+    u = materialize(u.join(n_rated, "user_id", "left").fillna(0, subset=["n_rated"]))
+    cand = _candidates(u, materialize(_i(model)), model.mu, n, min_rating)
     cand = cand.join(rated.select("user_id", "business_id"), ["user_id", "business_id"], "left_anti")
     return top_n(cand, n)
 
 
-def recommend_new_users(model_items: DataFrame, mu: float, new_users: DataFrame, n: int = 100,
-                        max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+def recommend_new_users(model_items: DataFrame, mu: float, new_users: DataFrame, n: int = 100) -> DataFrame:
     """M6 - top ``n`` items for users known only by their vectors
     ``new_users(user_id, uvec)`` (bias 0): score = mu + b_i + uvec . ivec."""
     items = model_items.select("business_id", F.col("bias").alias("i_bias"), "ivec")
-    u = new_users.select("user_id", F.lit(0.0).alias("u_bias"), "uvec", F.lit(0).alias("n_rated"))
-    parts = [_best_per_user(u, c, mu, n, None) for c in _item_chunks(items, max_broadcast_bytes)]
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    return top_n(cand, n)
+    u = new_users.select("user_id", F.lit(0.0).alias("u_bias"), "uvec", F.lit(0).cast("long").alias("n_rated"))
+    return top_n(_candidates(materialize(u), materialize(items), mu, n, None), n)
 
 
 def with_details(recs: DataFrame, business: DataFrame,

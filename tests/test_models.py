@@ -17,13 +17,14 @@ def _factor_model(spark, n_users=40, n_items=60, k=3, seed=0):
     return score.FactorModel(3.0, users, items), U, V, bu, bi
 
 
-def test_recommend_top_n_matches_brute_force_with_chunks(spark):
+def test_recommend_top_n_matches_brute_force_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(score, "BLOCK_USERS", 15)
+    monkeypatch.setattr(score, "BLOCK_ITEMS", 20)
     model, U, V, bu, bi = _factor_model(spark)
     rng = np.random.default_rng(3)
     rated = pd.DataFrame({"user_id": rng.integers(0, 40, 400), "business_id": rng.integers(0, 60, 400)})
     rated_df = spark.createDataFrame(rated)
-    # a tiny broadcast budget forces several item chunks
-    got = score.recommend_top_n(model, rated_df, n=5, min_rating=2.5, max_broadcast_bytes=300).toPandas()
+    got = score.recommend_top_n(model, rated_df, n=5, min_rating=2.5).toPandas()
     S = 3.0 + bu[:, None] + bi[None, :] + U @ V.T
     seen = set(zip(rated.user_id, rated.business_id))
     for u in range(40):
@@ -33,6 +34,23 @@ def test_recommend_top_n_matches_brute_force_with_chunks(spark):
         assert mine == best, u
 
 
+def test_bound_on_norms_keeps_the_best(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(score, "STEP_ITEMS", 16)
+    rng = np.random.default_rng(11)
+    v, u = rng.normal(size=(300, 4)) * rng.exponential(size=(300, 1)), rng.normal(size=(25, 4))
+    bias, u_bias = rng.normal(size=300) * 0.1, rng.normal(size=25) * 0.1
+    users = pa.table({"user_id": np.arange(25), "u_bias": u_bias, "uvec": list(u), "n_rated": np.arange(25) % 3})
+    items = pa.table({"business_id": np.arange(300), "i_bias": bias, "ivec": list(v)})
+    schema = pa.schema([("user_id", pa.int64()), ("business_id", pa.int64()), ("predicted_rating", pa.float64())])
+    s = 3.0 + u_bias[:, None] + bias[None, :] + u @ v.T
+    for floor in (None, 4.0):
+        got = score._block_scores(3.0, 5, floor, schema)(users, items).to_pandas()
+        for i in range(25):
+            best = [j for j in np.argsort(-s[i])[:5 + i % 3] if floor is None or s[i, j] >= floor]
+            assert set(got[got.user_id == i].business_id) == set(best)
+
+
 def test_score_pairs_null_for_unknown(spark):
     model, *_ = _factor_model(spark)
     pairs = spark.createDataFrame([(0, 0), (999, 0), (0, 999)], "user_id long, business_id long")
