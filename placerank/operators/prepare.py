@@ -58,6 +58,31 @@ def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns(scaled)
 
 
+def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
+    """F1 - the statistics of a fit as a table (column, mean, std), one row a column, to be kept and applied to other
+    rows; std is that of the population. Nulls count as 0, as in the prepared tables."""
+    x = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols}
+    st = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")) for c, v in x.items()]).alias("s"))
+    return st.select(F.explode("s").alias("s")).select("s.*")
+
+
+def _scaled(value, stats, col: str):
+    """A value under stored statistics; a constant column becomes 0, one without statistics stays as it is."""
+    st = F.try_element_at(stats, F.lit(col))
+    return F.when(st.isNull(), value).when(st["std"] > 0, (value - st["mean"]) / st["std"]).otherwise(F.lit(0.0))
+
+
+def _by_column(stats: DataFrame):
+    entry = F.struct("column", F.struct("mean", "std"))
+    return stats.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()   # one entry a column
+
+
+def apply_scaler(df: DataFrame, stats: DataFrame, cols: list[str]) -> DataFrame:
+    """F1 - (x - mean) / std with the statistics of an earlier fit (``fit_scaler``); nulls count as 0."""
+    df = df.withColumn("_st", _by_column(stats))   # one subquery for all columns
+    return df.withColumns({c: _scaled(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.col("_st"), c) for c in cols}).drop("_st")
+
+
 def dense_codes(df: DataFrame, cols: list[str]) -> DataFrame:
     """Rank (from 0) of every distinct non-null value of each column, in sorted order:
     -> (column, value, code); ``cols`` must share one data type.
@@ -132,12 +157,12 @@ def prepare_user_features(user_feats: DataFrame, reviews: DataFrame, numeric: li
     ``days_yelping`` (F3) standardised."""
     num, cat = available(user_feats, numeric), available(user_feats, categorical)
     u = user_feats.join(reviews.select("user_id"), "user_id", "left_semi")
-    if "yelping_since" in u.columns:
-        u = account_age_days(u)
-    extra = ["days_yelping"] if "days_yelping" in u.columns else []
-    u = (u.select("user_id", *[F.col(c).cast("double").alias(c) for c in num + extra], *cat)
-         .fillna(0.0, subset=num + extra))
-    u = materialize(u)   # statistics and codes below read it several times
+    since = [F.col("yelping_since").cast("string").alias("yelping_since")] if "yelping_since" in u.columns else []
+    u = u.select("user_id", *[F.col(c).cast("double").alias(c) for c in num], *cat, *[c for c in since if "yelping_since" not in num + cat])
+    u = materialize(u.fillna(0.0, subset=num))   # the latest date, statistics and codes below read it
+    extra = []
+    if since:
+        u, extra = account_age_days(u).drop("yelping_since"), ["days_yelping"]
     u = standardize(u, num + extra)
     return label_encode(u, cat, suffix="_encoded").drop(*cat)
 
@@ -165,13 +190,12 @@ def feature_vectors(ids: DataFrame, feats: DataFrame, key: str, cols: list[str],
 def new_user_vectors(new_users: DataFrame, order: list[str], stats: DataFrame | None = None) -> DataFrame:
     """F8 - feature vectors for new users in the fixed column order; absent or null -> 0.
 
-    With ``stats(column, mean, std)`` (from the training users) the values are standardised
-    first; without it they stay unscaled, as in the reference.
+    With ``stats(column, mean, std)`` (``fit_scaler`` on the training users) the values are standardised;
+    without it they stay unscaled, as in the reference.
     """
     have = set(new_users.columns)
-    vals = {c: (F.col(c).cast("double") if c in have else F.lit(0.0)) for c in order}
+    vals = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0) for c in order}
     if stats is not None:
-        st = {r["column"]: (r["mean"], r["std"]) for r in stats.collect()}  # one row per column
-        vals = {c: ((v - st[c][0]) / st[c][1] if c in st and st[c][1] else v) for c, v in vals.items()}
-    return new_users.select("user_id", F.array(*[F.coalesce(v, F.lit(0.0)) for v in vals.values()])
-                            .alias("features"))
+        new_users = new_users.withColumn("_st", _by_column(stats))
+        vals = {c: _scaled(v, F.col("_st"), c) for c, v in vals.items()}
+    return new_users.select("user_id", F.array(*vals.values()).alias("features"))

@@ -196,10 +196,30 @@ def exclude_rated(pairs: DataFrame, rated: DataFrame, trained_items: DataFrame)
             .join(trained_items.select("business_id"), "business_id", "left_semi"))
 
 
+def page_index(recs: DataFrame) -> DataFrame:
+    """S11 - recommendations with their ``position`` (from 0) in the order (user_id, rank), and ``total``; saved in that
+    order, so a page is a range of positions that Parquet's statistics find.
+
+    Rows are range-partitioned and sorted once; a position is the row's place in its partition plus the rows of the
+    partitions before it (one row a partition).
+    """
+    ordered = recs.repartitionByRange("user_id", "rank").sortWithinPartitions("user_id", "rank").withColumn("_at", F.monotonically_increasing_id())
+    local = materialize(ordered.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    out = local.join(F.broadcast(before), "_part").withColumn("position", F.col("_before") + F.col("_at"))
+    return materialize(out.drop("_part", "_at", "_before").withColumn("total", sizes.agg(F.sum("_n")).scalar()))
+
+
+def read_page(index: DataFrame, page_no: int = 1, per_page: int = 1000) -> DataFrame:
+    """S11 - one page of a ``page_index``, with tolerant numeric casts; adds ``total_pages``."""
+    first = (page_no - 1) * per_page
+    rows = index.filter((F.col("position") >= first) & (F.col("position") < first + per_page)).drop("position")
+    return (rows.withColumn("predicted_rating", F.col("predicted_rating").try_cast("double"))
+            .withColumn("total_pages", F.ceil(F.col("total") / F.lit(per_page))))
+
+
 def page(recs: DataFrame, page_no: int = 1, per_page: int = 1000) -> DataFrame:
-    """S11 - one page of recommendations ordered by (user_id, rank), with tolerant numeric
-    casts; adds ``total`` and ``total_pages``."""
-    total = recs.agg(F.count(F.lit(1))).scalar()
-    out = (recs.withColumn("predicted_rating", F.col("predicted_rating").try_cast("double"))
-           .orderBy("user_id", "rank").offset((page_no - 1) * per_page).limit(per_page))
-    return out.withColumn("total", total).withColumn("total_pages", F.ceil(total / F.lit(per_page)))
+    """S11 - one page of recommendations ordered by (user_id, rank); for several pages keep the ``page_index``."""
+    return read_page(page_index(recs), page_no, per_page)

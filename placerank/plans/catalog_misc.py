@@ -9,6 +9,7 @@ from placerank.operators import features_user as fu
 from placerank.operators import gem, locality
 from placerank.plans.catalog_features import TOKENS, UCC
 from placerank.plans.catalog_locality import BASE, GEM_SQL
+from placerank.plans.catalog_models import HYBRID
 from placerank.plans.catalog_scoring import MODEL, fixture_model, train_test
 from placerank.plans.registry import query, round_doubles, sql_round
 from placerank.sources import fixtures as fx
@@ -164,11 +165,10 @@ def p17_dot_product(spark, d):
     return round_doubles(j.select("review_id", dot("uvec", "ivec").alias("dot")))
 
 
-@query("a32_model_info", ctes("reviews", extra=MODEL) + """SELECT 20 AS n_factors, 5 AS n_epochs,
+@query("a32_model_info", ctes("reviews", extra=MODEL) + f"""SELECT {HYBRID.n_factors} AS n_factors, {HYBRID.n_epochs} AS n_epochs,
     count(DISTINCT user_id) AS n_users, count(DISTINCT business_id) AS n_items, count(*) AS n_ratings,
     true AS has_user_features, true AS has_item_features FROM split WHERE split = 'train'""")
 def a32_model_info(spark, d):
     from placerank.models.hybrid import model_info
-    from placerank.plans.catalog_models import HYBRID
     train = train_test(spark, d).filter(F.col("split") == "train")
     return model_info(train, HYBRID, True, True)

@@ -244,10 +244,47 @@ def f7_feature_vectors(spark, d):
     return pr.feature_vectors(fx.reviews(spark, d), feats, "business_id", F7_COLS)
 
 
-@query("f8_new_user_vectors", ctes("users", "reviews") + f"""SELECT user_id,
-    [{', '.join(f'coalesce(CAST({c} AS DOUBLE), 0.0)' if c in fx.COMPLIMENT_COLUMNS + ['review_count', 'useful', 'funny', 'cool', 'fans', 'average_stars'] else '0.0' for c in NEW_USER_VECTOR)}]
-        AS features
-    FROM users WHERE user_id NOT IN (SELECT user_id FROM reviews)""")
+# ---- new users (those outside the filtered reviews) and stored scaling statistics ----
+SCALED = fx.COMPLIMENT_COLUMNS + ["review_count", "useful", "funny", "cool", "fans", "average_stars"]
+SCALER = ctes("users", "reviews", extra=FILTERED) + ", st AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", avg(CAST({c} AS DOUBLE)) AS mean, stddev_pop(CAST({c} AS DOUBLE)) AS std FROM known" for c in SCALED) + ")"
+SCALER = SCALER.replace(", st AS (", ", known AS (SELECT * FROM users WHERE user_id IN (SELECT user_id FROM fr)),\n    "
+                        "cold AS (SELECT * FROM users WHERE user_id NOT IN (SELECT user_id FROM fr)),\n    st AS (", 1)
+
+
+def known_and_cold(spark, d):
+    u, fr = fx.users(spark, d), filtered_reviews(spark, d).select("user_id")
+    return u.join(fr, "user_id", "left_semi"), u.join(fr, "user_id", "left_anti")
+
+
+def _scaled_sql(c):
+    return (f"CASE WHEN (SELECT std FROM st WHERE \"column\" = '{c}') > 0 THEN (coalesce(CAST({c} AS DOUBLE), 0.0) - (SELECT mean FROM st "
+            f"WHERE \"column\" = '{c}')) / (SELECT std FROM st WHERE \"column\" = '{c}') ELSE 0.0 END")
+
+
+@query("f1_scaler_fit", sql_round(SCALER + " SELECT * FROM st", ["mean", "std"]))
+def f1_scaler_fit(spark, d):
+    return round_doubles(pr.fit_scaler(known_and_cold(spark, d)[0], SCALED))
+
+
+@query("f1_scaler_applied_to_other_rows", sql_round(SCALER + f" SELECT user_id, {', '.join(_scaled_sql(c) + f' AS {c}' for c in SCALED)} FROM cold", SCALED))
+def f1_scaler_applied_to_other_rows(spark, d):
+    known, cold = known_and_cold(spark, d)
+    return round_doubles(pr.apply_scaler(cold.select("user_id", *SCALED), pr.fit_scaler(known, SCALED), SCALED))
+
+
+def _new_users(spark, d):
+    return known_and_cold(spark, d)[1].drop("elite", "city", "name", "friends", "yelping_since")
+
+
+@query("f8_new_user_vectors", SCALER + f"""SELECT user_id,
+    [{', '.join(f'coalesce(CAST({c} AS DOUBLE), 0.0)' if c in SCALED else '0.0' for c in NEW_USER_VECTOR)}] AS features FROM cold""")
 def f8_new_user_vectors(spark, d):
-    u = fx.users(spark, d).join(fx.reviews(spark, d).select("user_id"), "user_id", "left_anti")
-    return pr.new_user_vectors(u.drop("elite", "city", "name", "friends", "yelping_since"), NEW_USER_VECTOR)
+    return pr.new_user_vectors(_new_users(spark, d), NEW_USER_VECTOR)
+
+
+@query("f8_new_user_vectors_scaled", SCALER + f"""SELECT user_id,
+    [{', '.join(f'round({_scaled_sql(c)}, 6)' if c in SCALED else '0.0' for c in NEW_USER_VECTOR)}] AS features FROM cold""")
+def f8_new_user_vectors_scaled(spark, d):
+    stats = pr.fit_scaler(known_and_cold(spark, d)[0], SCALED)
+    return round_doubles(pr.new_user_vectors(_new_users(spark, d), NEW_USER_VECTOR, stats))

@@ -1,8 +1,11 @@
 """Registered queries: metrics on predictions, factor-model scoring and recommendations."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from placerank.models import hybrid
+from placerank.models.common import matvec
 from placerank.operators import gem, metrics, prepare as pr, score
 from placerank.plans.catalog_locality import GEM_SQL
 from placerank.plans.catalog_prepare import FILTERED, filtered_reviews
@@ -200,6 +203,14 @@ def s11_page_recommendations(spark, d):
     return round_doubles(score.page(fixture_recs(spark, d), 2, 1000))
 
 
+@query("s11_pages", sql_round(TOPN + """SELECT user_id, business_id, predicted_rating, CAST(rank AS INTEGER) AS rank,
+    CAST(floor((row_number() OVER (ORDER BY user_id, rank) - 1) / 700) + 1 AS BIGINT) AS page FROM recs""", ["predicted_rating"]))
+def s11_pages(spark, d):
+    index = score.page_index(fixture_recs(spark, d))
+    return round_doubles(index.select("user_id", "business_id", "predicted_rating", "rank",
+                                      (F.floor(F.col("position") / 700) + 1).alias("page")))
+
+
 @query("r1_rerank_by_gem", sql_round(TOPN.replace("rank <= 10", "rank <= 25") + ", gem AS (" + GEM_SQL + """)
     SELECT r.user_id, r.business_id, r.predicted_rating, CAST(r.rank AS INTEGER) AS rank, g.hidden_gem_score,
         CAST(row_number() OVER (PARTITION BY r.user_id ORDER BY g.hidden_gem_score DESC NULLS LAST,
@@ -219,9 +230,6 @@ def _w(l, j):
 
 def project(x_col: str, alpha: float) -> F.Column:
     """x . W (fixed fixture W, f x K) scaled by alpha, as a K-array (one JVM expression)."""
-    import numpy as np
-
-    from placerank.models.common import matvec
     f = len(NEW_USER_VECTOR)
     w = np.array([[_w(l, j) for j in range(K)] for l in range(f)])
     return F.transform(matvec(x_col, w), lambda v: v * F.lit(alpha))
@@ -243,11 +251,15 @@ def _xw_sql(j, alpha):
     return f"({terms}) * {alpha}"
 
 
-COLD = MODEL + f""",
-    cold AS (SELECT user_id, {', '.join(_xw_sql(j, ALPHA) + f' AS x{j}' for j in range(K))}
+def _cold_sql(alpha):
+    return MODEL + f""",
+    cold AS (SELECT user_id, {', '.join(_xw_sql(j, alpha) + f' AS x{j}' for j in range(K))}
         FROM users WHERE user_id NOT IN (SELECT user_id FROM fr))"""
 
 
+COLD = _cold_sql(ALPHA)
+
+
 @query("m6_recommend_new_users", sql_round(ctes("reviews", "users", extra=COLD) + f"""SELECT * FROM (
     SELECT c.user_id, i.business_id, {MU} + i.ibias + {' + '.join(f'c.x{j} * i.i{j}' for j in range(K))}
         AS predicted_rating FROM cold c CROSS JOIN itf i) QUALIFY CAST(row_number() OVER (PARTITION BY user_id
@@ -258,10 +270,7 @@ def m6_recommend_new_users(spark, d):
     return round_doubles(score.recommend_new_users(m.items, m.mu, nu, 100).drop("rank"))
 
 
-@query("m7_score_new_user_pairs", sql_round(ctes("reviews", "users", extra=COLD.replace(
-    f"{_xw_sql(0, ALPHA)} AS x0", f"{_xw_sql(0, 1.0)} AS x0").replace(f"{_xw_sql(1, ALPHA)} AS x1",
-    f"{_xw_sql(1, 1.0)} AS x1").replace(f"{_xw_sql(2, ALPHA)} AS x2", f"{_xw_sql(2, 1.0)} AS x2").replace(
-    f"{_xw_sql(3, ALPHA)} AS x3", f"{_xw_sql(3, 1.0)} AS x3")) + f"""SELECT c.user_id, r.business_id,
+@query("m7_score_new_user_pairs", sql_round(ctes("reviews", "users", extra=_cold_sql(1.0)) + f"""SELECT c.user_id, r.business_id,
     CASE WHEN i.business_id IS NOT NULL THEN {MU} + i.ibias + {' + '.join(f'c.x{j} * i.i{j}' for j in range(K))}
     END AS predicted_rating
     FROM cold c JOIN reviews r ON c.user_id = r.user_id LEFT JOIN itf i ON r.business_id = i.business_id""",
@@ -273,6 +282,54 @@ def m7_score_new_user_pairs(spark, d):
     return round_doubles(score.score_pairs(score.FactorModel(m.mu, nu, m.items), pairs))
 
 
+# ---- the same from a fitted model with the bilinear term beta * (x W_u) . (y W_i), matrices given ----
+BETA = 0.25
+Y_COLS = ["latitude", "stars", "is_open"]
+
+
+def _wi(l, j):
+    return ((l * 17 + j * 5) % 40 - 20) / 991.0
+
+
+def given_model(spark, d) -> hybrid.HybridModel:
+    """A hybrid model with the fixture's item factors, its items' features and given projections."""
+    b = fx.business(spark, d)
+    y = b.select("business_id", F.array(*[F.col(c).cast("double") for c in Y_COLS]).alias("y"))
+    items = fixture_model(spark, d).items.select("business_id", F.col("bias").alias("bi"), F.col("ivec").alias("q")).join(y, "business_id", "left")
+    items = items.withColumn("y", F.coalesce("y", F.array(*[F.lit(0.0)] * len(Y_COLS))))
+    w_u = np.array([[_w(l, j) for j in range(K)] for l in range(len(NEW_USER_VECTOR))])
+    w_i = np.array([[_wi(l, j) for j in range(K)] for l in range(len(Y_COLS))])
+    return hybrid.HybridModel(hybrid.HybridParams(n_factors=K, alpha=ALPHA, beta=BETA), MU, None, items, w_u, w_i)
+
+
+YW = f""",
+    yw AS (SELECT i.*, {', '.join(' + '.join(f'coalesce(CAST(b.{c} AS DOUBLE), 0.0) * {_wi(l, j)!r}' for l, c in enumerate(Y_COLS)) + f' AS y{j}' for j in range(K))}
+        FROM itf i LEFT JOIN business b ON i.business_id = b.business_id)"""
+
+
+def _bilinear(s):
+    return (f"{MU} + i.ibias + {s} * (" + " + ".join(f"c.x{j} * i.i{j}" for j in range(K)) + f") + {BETA} * ("
+            + " + ".join(f"c.x{j} * i.y{j}" for j in range(K)) + ")")
+
+
+@query("m6_recommend_new_users_bilinear", sql_round(ctes("business", "reviews", "users", extra=_cold_sql(1.0) + YW) + f"""SELECT * FROM (
+    SELECT c.user_id, i.business_id, {_bilinear(ALPHA)} AS predicted_rating FROM cold c CROSS JOIN yw i)
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(predicted_rating, 9) DESC, business_id) <= 100""", ["predicted_rating"]))
+def m6_recommend_new_users_bilinear(spark, d):
+    m = given_model(spark, d).new_users(cold_users(spark, d))
+    return round_doubles(score.recommend_new_users(m.items, m.mu, m.users.select("user_id", "uvec"), 100).drop("rank"))
+
+
+@query("m7_score_new_user_pairs_bilinear", sql_round(ctes("business", "reviews", "users", extra=_cold_sql(1.0) + YW) + f"""SELECT c.user_id,
+    r.business_id, CASE WHEN i.business_id IS NOT NULL THEN {_bilinear(1.0)} END AS predicted_rating
+    FROM cold c JOIN reviews r ON c.user_id = r.user_id LEFT JOIN yw i ON r.business_id = i.business_id""", ["predicted_rating"]))
+def m7_score_new_user_pairs_bilinear(spark, d):
+    cold = cold_users(spark, d)
+    m = given_model(spark, d).new_users(cold, alpha_on_user_term=False)
+    pairs = fx.reviews(spark, d).select("user_id", "business_id").join(cold.select("user_id"), "user_id", "left_semi")
+    return round_doubles(score.score_pairs(m, pairs))
+
+
 @query("a29_prediction_histogram", sql_round(ctes("reviews", extra=PRED) + """, e AS (
         SELECT predicted_rating AS x FROM preds),
     st AS (SELECT min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / 50.0 AS w FROM e)

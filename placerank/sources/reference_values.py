@@ -89,7 +89,7 @@ USER_NUMERIC = ["review_count", "useful", "funny", "cool", "fans", "average_star
                 "years_elite", "rating_variance", "local_review_ratio", "days_since_last_review",
                 "review_frequency", "avg_price_preference", "num_cities_reviewed"]
 # order of a new user's feature vector
-NEW_USER_VECTOR = USER_NUMERIC[:36] + ["base_city_encoded", "state_code_encoded", "top_category_encoded",
+NEW_USER_VECTOR = USER_NUMERIC + ["base_city_encoded", "state_code_encoded", "top_category_encoded",
                                        "elite_encoded", "days_yelping"]
 
 # ---- fixed values: rule-based sentiment (constants of the published VADER method) ----
