@@ -31,15 +31,18 @@ def mae_by_rating(predictions: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
-    """A29 - equal-width histogram between the column's min and max (nulls dropped):
-    (bin, lo, hi, n); the max value falls in the last bin."""
+    """A29 - equal-width histogram between the column's min and max (nulls dropped) with empty bins:
+    (bin, lo, hi, n, mean), mean being that of the whole column; the max value falls in the last bin. No value, no rows."""
     x = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    st = x.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
+    st = x.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"))).scalar()
     width = (st["hi"] - st["lo"]) / F.lit(float(bins))
     b = F.when(width > 0, F.least(F.floor((F.col("x") - st["lo"]) / width), F.lit(bins - 1))).otherwise(F.lit(0))
-    return (x.groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-            .select("bin", (st["lo"] + F.col("bin") * width).alias("lo"),
-                    (st["lo"] + (F.col("bin") + 1) * width).alias("hi"), "n"))
+    counts = x.groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    # one row holding the counts of the (few) bins, laid out over all bins
+    held = counts.agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m")).filter(F.size("m") > 0)
+    every = held.select("m", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return every.select("bin", (st["lo"] + F.col("bin") * width).alias("lo"), (st["lo"] + (F.col("bin") + 1) * width).alias("hi"),
+                        F.coalesce(F.try_element_at("m", F.col("bin")), F.lit(0)).cast("long").alias("n"), st["mean"].alias("mean"))
 
 
 def exact_median(df: DataFrame, col: str) -> DataFrame:
@@ -67,49 +70,52 @@ def exact_median(df: DataFrame, col: str) -> DataFrame:
 
 
 def precision_recall_at_k(predictions: DataFrame, ks: list[int] | None = None,
-                          threshold: float = RELEVANCE_THRESHOLD) -> DataFrame:
-    """W2 - mean precision@k and recall@k over users, all k in one pass -> (k, precision, recall).
+                          threshold: float = RELEVANCE_THRESHOLD, by: tuple[str, ...] = ()) -> DataFrame:
+    """W2 - mean precision@k and recall@k over users, all k (and all values of the columns ``by``) in one pass
+    -> (*by, k, precision, recall).
 
     Per user: rank by predicted rating desc (ties: business_id, then actual rating); only the top max(k) rows
     per user are ranked (Spark prunes each partition to that many rows before the
     shuffle), while the relevant count uses all of the user's rows via a partial aggregate.
     """
     ks = sorted(ks or METRIC_KS)
-    kmax = ks[-1]
-    w = Window.partitionBy("user_id").orderBy(F.col("predicted_rating").desc(), F.col("business_id"),
-                                              F.col("actual_rating"))
+    kmax, keys = ks[-1], [*by, "user_id"]
+    w = Window.partitionBy(*keys).orderBy(F.col("predicted_rating").desc(), F.col("business_id"),
+                                          F.col("actual_rating"))
     top = predictions.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= kmax)
     rec = F.col("predicted_rating") >= threshold
     rel = F.col("actual_rating") >= threshold
-    per_user = top.groupBy("user_id").agg(
+    per_user = top.groupBy(*keys).agg(
         *[F.count(F.when((F.col("_rn") <= k) & rec, 1)).alias(f"rec{k}") for k in ks],
         *[F.count(F.when((F.col("_rn") <= k) & rec & rel, 1)).alias(f"hit{k}") for k in ks])
-    n_rel = predictions.groupBy("user_id").agg(F.count(F.when(rel, 1)).alias("n_rel"))
-    j = per_user.join(n_rel, "user_id")
+    n_rel = predictions.groupBy(*keys).agg(F.count(F.when(rel, 1)).alias("n_rel"))
+    j = per_user.join(n_rel, keys)
     aggs = []
     for k in ks:
         aggs.append(F.avg(F.when(F.col(f"rec{k}") > 0, F.col(f"hit{k}") / F.col(f"rec{k}"))
                           .otherwise(F.lit(0.0))).alias(f"p{k}"))
         aggs.append(F.avg(F.when(F.col("n_rel") > 0, F.col(f"hit{k}") / F.col("n_rel"))
                           .otherwise(F.lit(0.0))).alias(f"r{k}"))
-    wide = j.agg(*aggs)
-    return wide.select(F.explode(F.array(*[
+    wide = j.groupBy(*by).agg(*aggs) if by else j.agg(*aggs)
+    return wide.select(*by, F.explode(F.array(*[
         F.struct(F.lit(k).alias("k"), F.col(f"p{k}").alias("precision"), F.col(f"r{k}").alias("recall"))
-        for k in ks])).alias("m")).select("m.k", "m.precision", "m.recall")
+        for k in ks])).alias("m")).select(*by, "m.k", "m.precision", "m.recall")
 
 
-def evaluate(predictions: DataFrame, ks: list[int] | None = None) -> DataFrame:
-    """Metric table (metric, value): RMSE, MAE and Precision@k / Recall@k."""
-    err = rmse_mae(predictions)
-    e = err.select(F.explode(F.array(F.struct(F.lit("RMSE").alias("metric"), F.col("rmse").alias("value")),
-                                     F.struct(F.lit("MAE").alias("metric"), F.col("mae").alias("value")))).alias("m"))
-    pr = precision_recall_at_k(predictions, ks)
-    p = pr.select(F.explode(F.array(
+def evaluate(predictions: DataFrame, ks: list[int] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Metric table (*by, metric, value): RMSE, MAE and Precision@k / Recall@k. With ``by=("model",)`` it is the
+    comparison of all models of a prediction table in one pass (M14)."""
+    e = F.col("actual_rating") - F.col("predicted_rating")
+    err = predictions.groupBy(*by).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
+    e = err.select(*by, F.explode(F.array(F.struct(F.lit("RMSE").alias("metric"), F.col("rmse").alias("value")),
+                                          F.struct(F.lit("MAE").alias("metric"), F.col("mae").alias("value")))).alias("m"))
+    pr = precision_recall_at_k(predictions, ks, by=by)
+    p = pr.select(*by, F.explode(F.array(
         F.struct(F.concat(F.lit("Precision@"), F.col("k").cast("string")).alias("metric"),
                  F.col("precision").alias("value")),
         F.struct(F.concat(F.lit("Recall@"), F.col("k").cast("string")).alias("metric"),
                  F.col("recall").alias("value")))).alias("m"))
-    return e.select("m.metric", "m.value").unionByName(p.select("m.metric", "m.value"))
+    return e.select(*by, "m.metric", "m.value").unionByName(p.select(*by, "m.metric", "m.value"))
 
 
 def grid_pivot(results: DataFrame) -> DataFrame:

@@ -1,18 +1,17 @@
-"""T1 / A4-A6 - rule-based review sentiment as one Spark job.
-
-Per review: tokens (lower case, split on anything but letters and apostrophes) stay
-an array inside the row, and every token's context - negation or booster words up
-to three tokens back, its side of the first "but" - is read with array functions,
-so no window and no shuffle is needed for context.  The tokens are then exploded
-and inner-joined to the lexicon (a word list of bounded size, broadcast); only the
-scored tokens are aggregated per review (partial aggregation).  Whole texts are
-processed, however long.
-
-Scores follow the published VADER method: valence sum with negation (x -0.74),
-boosters (+-0.293, damped by distance), "but" weighting (0.5 before / 1.5 after),
-exclamation emphasis (+0.292 each, at most 4), question marks (0.18 each for 2-3,
-0.96 above), compound = s / sqrt(s^2 + 15) and
-pos/neg/neu shares.  A null or empty text scores 0 everywhere.
+"""T1 / A4-A6 - rule-based review sentiment as one Spark job over one scan.
+
+Per review: tokens (runs of letters, marks and digits of any script, joined by inner apostrophes and hyphens, case
+kept) stay an array inside the row, and every token's context - negation or booster words up to three tokens
+back, its side of the first "but" - is read with array functions, so no window and no shuffle is
+needed for context. The tokens are then exploded together with the row's own counts and left-joined to the lexicon
+(an input table, broadcast once its size is checked), and added up by a row key made in the scan, so ids may
+be null or repeated and the texts are read once. Whole texts are processed, however long.
+
+Scores follow the published VADER method: valence sum with negation (x -0.74), boosters (+-0.293, damped by
+distance; boosters of two words and hyphened ones are matched as phrases), emphasis of words in capitals (0.733, if
+the text is not all in capitals), "but" weighting (0.5 before / 1.5 after), exclamation emphasis (+0.292 each, at
+most 4), question marks (0.18 each for 2-3, 0.96 above), compound = s / sqrt(s^2 + 15) and pos/neg/neu
+shares. A null or empty text scores 0 everywhere.
 """
 from __future__ import annotations
 
@@ -21,44 +20,54 @@ from pyspark.sql import functions as F
 
 from placerank.sources.reference_values import (
     BOOSTER_DOWN, BOOSTER_UP, NEGATION_WORDS, SENT_BOOST_DECAY, SENT_BOOST_INCREMENT, SENT_BUT_AFTER,
-    SENT_BUT_BEFORE, SENT_EXCLAMATION_MAX, SENT_EXCLAMATION_STEP, SENT_NEGATION_SCALAR, SENT_NORMALIZATION_ALPHA,
+    SENT_BUT_BEFORE, SENT_CAPS_INCREMENT, SENT_EXCLAMATION_MAX, SENT_EXCLAMATION_STEP, SENT_NEGATION_SCALAR, SENT_NORMALIZATION_ALPHA,
     SENT_QUESTION_MAX, SENT_QUESTION_STEP)
 
-TOKEN_SPLIT = "[^a-z']+"
+TOKEN = r"[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*"
 LEXICON_MAX_ROWS = 1_000_000
 
 
 def tokens(text: str | Column) -> Column:
     t = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(t), TOKEN_SPLIT), lambda x: x != "")
+    return F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))
+
+
+def _in_capitals(token: Column) -> Column:
+    return token.rlike("[A-Z]") & ~token.rlike("[a-z]")
 
 
 def _arr(words):
     return F.array(*[F.lit(w) for w in words])
 
 
-def _word_flags(w: Column, decay: float) -> tuple[Column, Column]:
-    """(is-negation 0/1, booster increment) of one context word (null -> 0, 0)."""
-    is_neg = F.coalesce(F.array_contains(_arr(NEGATION_WORDS), w) | w.endswith("n't"), F.lit(False))
-    b = (F.when(F.array_contains(_arr(BOOSTER_UP), w), F.lit(SENT_BOOST_INCREMENT))
-         .when(F.array_contains(_arr(BOOSTER_DOWN), w), F.lit(-SENT_BOOST_INCREMENT)).otherwise(F.lit(0.0)))
-    return F.when(is_neg, 1).otherwise(0), F.coalesce(b, F.lit(0.0)) * decay
+def _word_flags(w: Column, before: Column, decay: float, emphasis: Column) -> tuple[Column, Column]:
+    """(is-negation 0/1, booster increment) of one context word and the word before it (null -> 0, 0)."""
+    low, phrase = F.lower(w), F.concat(F.lower(before), F.lit(" "), F.lower(w))
+
+    def listed(words: list[str]) -> Column:
+        return F.coalesce(F.array_contains(_arr(words), low), F.lit(False)) | F.coalesce(F.array_contains(_arr(words), phrase), F.lit(False))
+
+    is_neg = F.coalesce(F.array_contains(_arr(NEGATION_WORDS), low) | low.endswith("n't"), F.lit(False))
+    sign = F.when(listed(BOOSTER_UP), 1.0).when(listed(BOOSTER_DOWN), -1.0).otherwise(0.0)
+    caps = F.when(emphasis & F.coalesce(_in_capitals(w), F.lit(False)), SENT_CAPS_INCREMENT).otherwise(0.0)
+    return F.when(is_neg, 1).otherwise(0), sign * (SENT_BOOST_INCREMENT + caps) * decay
 
 
 def review_sentiment(reviews: DataFrame, lexicon: DataFrame, text_col: str = "text",
-                     id_col: str = "review_id") -> DataFrame:
-    """-> (id, vader_neg, vader_neu, vader_pos, vader_compound) for every review.
+                     id_col: str = "review_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """-> (id, columns of ``keep``, vader_neg, vader_neu, vader_pos, vader_compound), one row per review row.
 
-    ``lexicon(word, valence)``; its size is checked before it is broadcast.  Each token
-    is exploded together with the three tokens before it (shifted copies of the token
-    array, zipped), so context costs O(tokens) per text - never a lookup per position.
+    ``lexicon(word, valence)``; its size is checked before it is broadcast.  Each token is exploded together with the
+    four tokens before it (shifted copies of the token array, zipped), so context costs O(tokens) per
+    text - never a lookup per position.
     """
-    n_lex = lexicon.limit(LEXICON_MAX_ROWS + 1).count()
-    lex = lexicon.select(F.lower("word").alias("token"), F.col("valence").cast("double").alias("valence"))
-    lex = F.broadcast(lex) if n_lex <= LEXICON_MAX_ROWS else lex
+    small = lexicon.limit(LEXICON_MAX_ROWS + 1).count() <= LEXICON_MAX_ROWS
+    lex = lexicon.select(F.lower("word").alias("_word"), F.col("valence").cast("double").alias("_valence"))
+    lex = F.broadcast(lex) if small else lex
     text = F.coalesce(F.col(text_col), F.lit(""))
+    own = [id_col, *[c for c in keep if c != id_col]]
     base = reviews.select(
-        id_col, tokens(text).alias("_toks"),
+        F.struct(*own).alias("_own"), F.monotonically_increasing_id().alias("_row"), tokens(text).alias("_toks"),
         (F.length(text) - F.length(F.regexp_replace(text, "!", ""))).alias("_bang"),
         (F.length(text) - F.length(F.regexp_replace(text, "[?]", ""))).alias("_qm"))
     n = F.size("_toks")
@@ -67,29 +76,33 @@ def review_sentiment(reviews: DataFrame, lexicon: DataFrame, text_col: str = "te
         return F.concat(F.array_repeat(F.lit(None).cast("string"), F.least(n, F.lit(k))),
                         F.slice("_toks", 1, F.greatest(n - k, F.lit(0))))
 
-    shifts = base.select(id_col, n.alias("_n"), "_bang", "_qm", F.array_position("_toks", "but").alias("_fb"),
-                         F.col("_toks").alias("t0"), shifted(1).alias("p1"), shifted(2).alias("p2"),
-                         shifted(3).alias("p3"))
-    stats = shifts.select(id_col, "_n", "_bang", "_qm")
-    hits = (shifts.select(id_col, "_fb", F.posexplode(F.arrays_zip("t0", "p1", "p2", "p3")).alias("pos", "e"))
-            .select(id_col, "_fb", "pos", F.col("e.t0").alias("token"), "e.p1", "e.p2", "e.p3")
-            .join(lex, "token"))
+    n_caps = F.size(F.filter("_toks", _in_capitals))
+    lows = F.transform("_toks", lambda t: F.lower(t))
+    facts = F.struct("_own", n.alias("n"), "_bang", "_qm")
+    shifts = base.select("_row", facts.alias("_facts"), ((n_caps > 0) & (n_caps < n)).alias("_emphasis"), F.array_position(lows, "but").alias("_fb"),
+                         F.col("_toks").alias("t0"), *[shifted(k).alias(f"p{k}") for k in (1, 2, 3, 4)])
+    each = (shifts.select("_row", "_facts", "_emphasis", "_fb", F.posexplode_outer(F.arrays_zip("t0", "p1", "p2", "p3", "p4")).alias("pos", "e"))
+            .select("_row", "_facts", "_emphasis", "_fb", "pos", F.lower("e.t0").alias("_word"), "e.*")
+            .join(lex, "_word", "left"))
     negs, boost = F.lit(0), F.lit(0.0)
-    for w, decay in zip(("p1", "p2", "p3"), SENT_BOOST_DECAY):
-        ng, bs = _word_flags(F.col(w), decay)
+    for k, decay in zip((1, 2, 3), SENT_BOOST_DECAY):
+        ng, bs = _word_flags(F.col(f"p{k}"), F.col(f"p{k + 1}"), decay, F.col("_emphasis"))
         negs, boost = negs + ng, boost + bs
     pos1 = F.col("pos") + 1   # 1-based, like array_position
     but_w = (F.when(F.col("_fb") == 0, F.lit(1.0)).when(pos1 < F.col("_fb"), F.lit(SENT_BUT_BEFORE))
              .when(pos1 > F.col("_fb"), F.lit(SENT_BUT_AFTER)).otherwise(F.lit(1.0)))
-    v = F.col("valence")
-    v = v + F.when(v > 0, boost).when(v < 0, -boost).otherwise(F.lit(0.0))
+    v = F.col("_valence")
+    caps = F.when(F.col("_emphasis") & _in_capitals(F.col("t0")), SENT_CAPS_INCREMENT).otherwise(0.0)
+    v = v + F.when(v > 0, boost + caps).when(v < 0, -boost - caps).otherwise(F.lit(0.0))
     v = v * F.pow(F.lit(SENT_NEGATION_SCALAR), negs) * but_w
-    per = hits.select(id_col, v.alias("v")).groupBy(id_col).agg(
-        F.sum("v").alias("_s"),
-        F.sum(F.when(F.col("v") > 0, F.col("v") + 1.0)).alias("_pos"),
-        F.sum(F.when(F.col("v") < 0, F.col("v") - 1.0)).alias("_negs"),
+    scored = each.select("_row", "_facts", F.when(F.col("_valence").isNotNull(), v).alias("v"))
+    j = scored.groupBy("_row").agg(
+        F.first("_facts").alias("_facts"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("_s"),
+        F.coalesce(F.sum(F.when(F.col("v") > 0, F.col("v") + 1.0)), F.lit(0.0)).alias("_pos"),
+        F.coalesce(F.sum(F.when(F.col("v") < 0, F.col("v") - 1.0)), F.lit(0.0)).alias("_negs"),
         F.count(F.when(F.col("v") != 0, 1)).alias("_scored"))
-    j = stats.join(per, id_col, "left").fillna(0, subset=["_s", "_pos", "_negs", "_scored"])
+    j = j.select("_facts._own.*", F.col("_facts.n").alias("_n"), F.col("_facts._bang").alias("_bang"), F.col("_facts._qm").alias("_qm"),
+                 "_s", "_pos", "_negs", "_scored")
     qm = (F.when(F.col("_qm") > 3, F.lit(SENT_QUESTION_MAX))
           .when(F.col("_qm") > 1, F.col("_qm") * SENT_QUESTION_STEP).otherwise(F.lit(0.0)))
     ep = F.least(F.col("_bang"), F.lit(SENT_EXCLAMATION_MAX)) * SENT_EXCLAMATION_STEP + qm
@@ -97,13 +110,13 @@ def review_sentiment(reviews: DataFrame, lexicon: DataFrame, text_col: str = "te
     ep = F.col("_ep")
     s = F.when(F.col("_s") > 0, F.col("_s") + ep).when(F.col("_s") < 0, F.col("_s") - ep).otherwise(F.lit(0.0))
     compound = F.when(s != 0, s / F.sqrt(s * s + SENT_NORMALIZATION_ALPHA)).otherwise(F.lit(0.0))
-    j = j.select(id_col, F.when(F.col("_pos") > F.abs("_negs"), F.col("_pos") + ep).otherwise(F.col("_pos"))
+    j = j.select(*own, F.when(F.col("_pos") > F.abs("_negs"), F.col("_pos") + ep).otherwise(F.col("_pos"))
                  .alias("_p2"),
                  F.when(F.col("_pos") < F.abs("_negs"), F.col("_negs") - ep).otherwise(F.col("_negs")).alias("_n2"),
                  (F.col("_n") - F.col("_scored")).cast("double").alias("_neu"), compound.alias("vader_compound"))
     total = F.col("_p2") + F.abs("_n2") + F.col("_neu")
     share = lambda x: F.when(total > 0, F.abs(x / total)).otherwise(F.lit(0.0))
-    return j.select(id_col, share(F.abs("_n2")).alias("vader_neg"), share(F.col("_neu")).alias("vader_neu"),
+    return j.select(*own, share(F.abs("_n2")).alias("vader_neg"), share(F.col("_neu")).alias("vader_neu"),
                     share(F.col("_p2")).alias("vader_pos"), "vader_compound")
 
 

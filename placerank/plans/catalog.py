@@ -12,6 +12,7 @@ MODULES = [
     "placerank.plans.catalog_one_factor",
     "placerank.plans.catalog_text",
     "placerank.plans.catalog_misc",
+    "placerank.plans.catalog_sources",
 ]
 
 

@@ -67,6 +67,9 @@ def a19_distinct_categories(spark, d):
 
 @query("a19_attribute_key_counts", ctes("business") + """SELECT key, count(*) AS n FROM (
     SELECT 'BusinessParking' AS key FROM business WHERE attr_businessparking IS NOT NULL
+    UNION ALL SELECT 'Music' FROM business WHERE attr_music IS NOT NULL
+    UNION ALL SELECT 'OutdoorSeating' FROM business WHERE attr_outdoorseating IS NOT NULL
+    UNION ALL SELECT 'Ambience' FROM business WHERE attr_ambience IS NOT NULL
     UNION ALL SELECT 'DogsAllowed' FROM business WHERE attr_dogsallowed IS NOT NULL
     UNION ALL SELECT 'Open24Hours' FROM business WHERE attr_open24hours IS NOT NULL
     UNION ALL SELECT 'RestaurantsPriceRange2' FROM business WHERE attr_restaurantspricerange2 IS NOT NULL)

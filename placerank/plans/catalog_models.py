@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from placerank.models import baseline
 from placerank.plans.catalog_scoring import MODEL, train_test
 from placerank.plans.registry import query, round_doubles, sql_round
+from placerank.sources import fixtures as fx
 from placerank.sources.fixture_sql import ctes
 
 BASELINE_EPOCHS = 20   # the reference's comparison run
@@ -99,11 +100,7 @@ def _compare_predictions(spark, d):
 
 def model_metrics(preds):
     """M14 - (model, metric, value) for a union of prediction tables keyed by model."""
-    out = None
-    for name in [r["model"] for r in preds.select("model").distinct().collect()]:   # a handful of models
-        m = metrics.evaluate(preds.filter(F.col("model") == name)).withColumn("model", F.lit(name))
-        out = m if out is None else out.unionByName(m)
-    return out
+    return metrics.evaluate(preds, by=("model",))
 
 
 KS = [5, 10, 20, 30, 50]
@@ -161,6 +158,56 @@ def a31_best_model_per_metric(spark, d):
     return round_doubles(metrics.compare_models(mm))
 
 
+# ---- all models of one prediction table: five given models, one of them without predictions for some users ----
+FIVE = ["Baseline", "Hybrid", "NMF", "SVD", "SVD++"]
+
+
+def five_predictions(spark, d):
+    """Every review with the estimate of each of five models, (user_id * 31 + business_id * 17 * m) spread over about 1 to 5."""
+    r = fx.reviews(spark, d)
+    each = r.select("user_id", "business_id", F.col("stars").cast("double").alias("actual_rating"),
+                    F.posexplode(F.array(*[F.lit(m) for m in FIVE])).alias("m", "model"))
+    est = F.lit(1.0) + ((F.col("user_id") * 31 + F.col("business_id") * 17 * (F.col("m") + 1)) % 397) / F.lit(99.7)
+    return each.filter(~((F.col("model") == "NMF") & (F.col("user_id") % 10 == 0))).select(
+        "model", "user_id", "business_id", "actual_rating", est.alias("predicted_rating"))
+
+
+FIVE_SQL = "preds AS (" + " UNION ALL ".join(
+    f"""SELECT '{m}' AS model, user_id, business_id, CAST(stars AS DOUBLE) AS actual_rating,
+        1.0 + ((user_id * 31 + business_id * 17 * {i + 1}) % 397) / CAST(99.7 AS DOUBLE) AS predicted_rating FROM reviews"""
+    + (" WHERE user_id % 10 <> 0" if m == "NMF" else "") for i, m in enumerate(FIVE)) + ")"
+_HITS = ", ".join(f"count(CASE WHEN rn <= {k} AND predicted_rating >= 3.5 THEN 1 END) AS rec{k}, "
+                  f"count(CASE WHEN rn <= {k} AND predicted_rating >= 3.5 AND actual_rating >= 3.5 THEN 1 END) AS hit{k}" for k in KS)
+_FIVE_METRICS = " UNION ALL ".join(
+    ["SELECT model, 'RMSE' AS metric, sqrt(avg(pow(actual_rating - predicted_rating, 2))) AS value FROM preds GROUP BY model",
+     "SELECT model, 'MAE', avg(abs(actual_rating - predicted_rating)) FROM preds GROUP BY model"]
+    + [f"SELECT model, 'Precision@{k}', avg(CASE WHEN rec{k} > 0 THEN hit{k} / rec{k} ELSE 0.0 END) FROM pu GROUP BY model" for k in KS]
+    + [f"SELECT model, 'Recall@{k}', avg(CASE WHEN n_rel > 0 THEN hit{k} / n_rel ELSE 0.0 END) FROM pu GROUP BY model" for k in KS])
+FIVE_CTES = ctes("reviews", extra=FIVE_SQL + f""",
+    rk AS (SELECT *, row_number() OVER (PARTITION BY model, user_id ORDER BY predicted_rating DESC, business_id, actual_rating) AS rn FROM preds),
+    pu AS (SELECT model, user_id, {_HITS}, count(CASE WHEN actual_rating >= 3.5 THEN 1 END) AS n_rel FROM rk GROUP BY model, user_id),
+    mm AS ({_FIVE_METRICS})""")
+
+
+@query("m14_five_models", sql_round(FIVE_CTES + "SELECT * FROM mm", ["value"]))
+def m14_five_models(spark, d):
+    return round_doubles(model_metrics(five_predictions(spark, d)))
+
+
+@query("a31_best_of_five_models", sql_round(FIVE_CTES + """, keyed AS (
+        SELECT *, CASE WHEN metric IN ('RMSE', 'MAE') THEN value ELSE -value END AS key FROM mm)
+    SELECT metric, model AS best_model, value AS best_value FROM (
+        SELECT *, row_number() OVER (PARTITION BY metric ORDER BY key, model) AS rn FROM keyed) WHERE rn = 1""", ["best_value"]))
+def a31_best_of_five_models(spark, d):
+    return round_doubles(metrics.compare_models(model_metrics(five_predictions(spark, d))))
+
+
+@query("a31_heat_scores", sql_round(FIVE_CTES + """SELECT model, metric, value,
+    CASE WHEN metric IN ('RMSE', 'MAE') THEN 1.0 / (1.0 + value) ELSE value END AS score FROM mm""", ["value", "score"]))
+def a31_heat_scores(spark, d):
+    return round_doubles(metrics.heat_scores(model_metrics(five_predictions(spark, d))))
+
+
 # ---- grid search over the reference's alpha x beta grid (rows-only) ----
 GRID_ALPHAS, GRID_BETAS = [0.001, 0.01, 0.1], [0.003, 0.01]
 GRID_BASE = hybrid.HybridParams(n_factors=50, n_epochs=10, reg=0.05, seed=23)

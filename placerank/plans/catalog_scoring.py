@@ -51,10 +51,10 @@ def a28_mae_by_rating(spark, d):
 
 @query("a29_error_histogram", sql_round(ctes("reviews", extra=PRED) + """, e AS (
         SELECT actual_rating - predicted_rating AS x FROM preds),
-    st AS (SELECT min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / 20.0 AS w FROM e)
-    SELECT bin, any_value(lo) + bin * any_value(w) AS lo, any_value(lo) + (bin + 1) * any_value(w) AS hi,
-        count(*) AS n FROM (SELECT CAST(CASE WHEN w > 0 THEN least(floor((x - lo) / w), 19) ELSE 0 END AS INTEGER)
-            AS bin, lo, w FROM e, st) GROUP BY bin""", ["lo", "hi"]))
+    st AS (SELECT min(x) AS lo, max(x) AS hi, avg(x) AS mean, (max(x) - min(x)) / 20.0 AS w FROM e),
+    c AS (SELECT CAST(CASE WHEN w > 0 THEN least(floor((x - lo) / w), 19) ELSE 0 END AS INTEGER) AS bin, count(*) AS n FROM e, st GROUP BY 1)
+    SELECT CAST(b.bin AS INTEGER) AS bin, lo + b.bin * w AS lo, lo + (b.bin + 1) * w AS hi, coalesce(c.n, 0) AS n, mean
+    FROM (SELECT unnest(generate_series(0, 19)) AS bin) b CROSS JOIN st LEFT JOIN c ON c.bin = b.bin""", ["lo", "hi", "mean"]))
 def a29_error_histogram(spark, d):
     p = metrics.with_error(synthetic_predictions(spark, d))
     return round_doubles(metrics.histogram(p, "prediction_error", 20))
@@ -332,9 +332,23 @@ def m7_score_new_user_pairs_bilinear(spark, d):
 
 @query("a29_prediction_histogram", sql_round(ctes("reviews", extra=PRED) + """, e AS (
         SELECT predicted_rating AS x FROM preds),
-    st AS (SELECT min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / 50.0 AS w FROM e)
-    SELECT bin, any_value(lo) + bin * any_value(w) AS lo, any_value(lo) + (bin + 1) * any_value(w) AS hi,
-        count(*) AS n FROM (SELECT CAST(CASE WHEN w > 0 THEN least(floor((x - lo) / w), 49) ELSE 0 END AS INTEGER)
-            AS bin, lo, w FROM e, st) GROUP BY bin""", ["lo", "hi"]))
+    st AS (SELECT min(x) AS lo, max(x) AS hi, avg(x) AS mean, (max(x) - min(x)) / 50.0 AS w FROM e),
+    c AS (SELECT CAST(CASE WHEN w > 0 THEN least(floor((x - lo) / w), 49) ELSE 0 END AS INTEGER) AS bin, count(*) AS n FROM e, st GROUP BY 1)
+    SELECT CAST(b.bin AS INTEGER) AS bin, lo + b.bin * w AS lo, lo + (b.bin + 1) * w AS hi, coalesce(c.n, 0) AS n, mean
+    FROM (SELECT unnest(generate_series(0, 49)) AS bin) b CROSS JOIN st LEFT JOIN c ON c.bin = b.bin""", ["lo", "hi", "mean"]))
 def a29_prediction_histogram(spark, d):
     return round_doubles(metrics.histogram(synthetic_predictions(spark, d), "predicted_rating", 50))
+
+
+# values with a wide gap: most bins are empty
+GAP = "CASE WHEN review_id LIKE '%1' THEN 100.0 + stars ELSE CAST(stars AS DOUBLE) END"
+
+
+@query("a29_histogram_with_empty_bins", sql_round(ctes("reviews") + f""", e AS (SELECT {GAP} AS x FROM reviews),
+    st AS (SELECT min(x) AS lo, max(x) AS hi, avg(x) AS mean, (max(x) - min(x)) / 20.0 AS w FROM e),
+    c AS (SELECT CAST(CASE WHEN w > 0 THEN least(floor((x - lo) / w), 19) ELSE 0 END AS INTEGER) AS bin, count(*) AS n FROM e, st GROUP BY 1)
+    SELECT CAST(b.bin AS INTEGER) AS bin, lo + b.bin * w AS lo, lo + (b.bin + 1) * w AS hi, coalesce(c.n, 0) AS n, mean
+    FROM (SELECT unnest(generate_series(0, 19)) AS bin) b CROSS JOIN st LEFT JOIN c ON c.bin = b.bin""", ["lo", "hi", "mean"]))
+def a29_histogram_with_empty_bins(spark, d):
+    x = F.when(F.col("review_id").endswith("1"), F.lit(100.0) + F.col("stars")).otherwise(F.col("stars").cast("double"))
+    return round_doubles(metrics.histogram(fx.reviews(spark, d).select(x.alias("x")), "x", 20))

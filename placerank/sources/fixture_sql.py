@@ -33,6 +33,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         CASE p_size % 5 WHEN 0 THEN NULL WHEN 4 THEN 'None' ELSE CAST(p_size % 5 AS VARCHAR) END AS price_raw,
         CASE p_size % 4 WHEN 0 THEN '{{''garage'': False, ''street'': True}}'
              WHEN 1 THEN '{{''garage'': False, ''street'': False}}' WHEN 2 THEN 'u''free''' END AS attr_businessparking,
+        CASE p_partkey % 6 WHEN 0 THEN '{{''dj'': False, ''live'': True}}' WHEN 1 THEN 'None' END AS attr_music,
+        CASE p_partkey % 4 WHEN 0 THEN 'True' WHEN 1 THEN 'False' WHEN 2 THEN 'None' END AS attr_outdoorseating,
+        CASE WHEN p_partkey % 9 = 0 THEN '{{''casual'': True}}' WHEN p_partkey % 9 < 4 THEN '{{''casual'': False}}' END AS attr_ambience,
         CASE p_size % 3 WHEN 0 THEN 'True' WHEN 1 THEN 'False' END AS attr_dogsallowed,
         CASE WHEN p_partkey % 7 = 0 THEN 'True' ELSE 'False' END AS attr_open24hours,
         CASE p_size % 5 WHEN 0 THEN NULL WHEN 4 THEN 'None' ELSE CAST(p_size % 5 AS VARCHAR) END

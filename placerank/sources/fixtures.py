@@ -83,7 +83,13 @@ def business(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("p_size") % 4 == 1, F.lit("{'garage': False, 'street': False}"))
         .when(F.col("p_size") % 4 == 2, F.lit("u'free'"))
     )
+    music = F.when(k % 6 == 0, F.lit("{'dj': False, 'live': True}")).when(k % 6 == 1, F.lit("None"))
+    seating = F.when(k % 4 == 0, F.lit("True")).when(k % 4 == 1, F.lit("False")).when(k % 4 == 2, F.lit("None"))
+    ambience = F.when(k % 9 == 0, F.lit("{'casual': True}")).when(k % 9 < 4, F.lit("{'casual': False}"))
     attrs = F.create_map(
+        F.lit("Music"), music,
+        F.lit("OutdoorSeating"), seating,
+        F.lit("Ambience"), ambience,
         F.lit("BusinessParking"), parking,
         F.lit("DogsAllowed"), dogs,
         F.lit("Open24Hours"), open24,

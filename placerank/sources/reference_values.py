@@ -54,7 +54,7 @@ GROUP_NAMES = list(CATEGORY_GROUPS)
 GENERIC_CATEGORIES = ["food", "restaurants"]
 
 # ---- fixed values: business attributes promoted to columns ----
-PROMOTED_ATTRIBUTES = ["BusinessParking", "DogsAllowed", "Open24Hours", "RestaurantsPriceRange2"]
+PROMOTED_ATTRIBUTES = ["DogsAllowed", "Music", "OutdoorSeating", "RestaurantsPriceRange2", "BusinessParking", "Ambience", "Open24Hours"]
 # promoted attributes whose missing value becomes False (with the ten group flags)
 IMPUTED_ATTRIBUTES = ["DogsAllowed", "Open24Hours"]
 
@@ -97,6 +97,7 @@ SENT_NEGATION_SCALAR = -0.74
 SENT_BOOST_INCREMENT = 0.293
 SENT_BOOST_DECAY = [1.0, 0.95, 0.9]      # booster 1, 2 or 3 words before the scored word
 SENT_BUT_BEFORE, SENT_BUT_AFTER = 0.5, 1.5
+SENT_CAPS_INCREMENT = 0.733
 SENT_EXCLAMATION_STEP, SENT_EXCLAMATION_MAX = 0.292, 4
 SENT_QUESTION_STEP, SENT_QUESTION_MAX = 0.18, 0.96
 SENT_NORMALIZATION_ALPHA = 15.0
