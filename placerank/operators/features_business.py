@@ -1,14 +1,15 @@
 """Business feature table.
 
-All per-business aggregates over reviews are fused into one ``groupBy``
-where they share an input (see ``business_review_features``).
+Predicates over small word lists are array tests of the row; the review aggregates start from one
+count by user and business.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placerank.functions.expr import bounded_broadcast, category_tokens, elite_years, price_level, text_to_bool
+from placerank.functions.expr import category_tokens, elite_years, price_level, text_to_bool
+from placerank.models.common import materialize
 from placerank.sources.reference_values import IMPUTED_ATTRIBUTES
 
 
@@ -52,26 +53,23 @@ def food_places(business: DataFrame) -> DataFrame:
 def drop_blocked(business: DataFrame, blocked: DataFrame) -> DataFrame:
     """P2 - drop a business when any of its category tokens is in the ``blocked`` table.
 
-    The blocklist is a small input table (tens of rows); it is broadcast once its size is checked.
+    The blocklist is a small input table; it becomes one array (a scalar subquery), so the test is a predicate of
+    the row and nothing is shuffled.
     """
-    toks = (business.select("business_id", F.explode(category_tokens("categories")).alias("category"))
-            .join(bounded_broadcast(blocked.select(F.lower("category").alias("category"))), "category",
-                  "left_semi")
-            .select("business_id").distinct())
-    return business.join(toks, "business_id", "left_anti")
+    words = blocked.agg(F.collect_set(F.lower("category"))).scalar()
+    return business.filter(~F.coalesce(F.arrays_overlap(category_tokens("categories"), words), F.lit(False)))
 
 
 def group_flags(business: DataFrame, groups: DataFrame, names: list[str]) -> DataFrame:
     """P3 - one column per category group: True when any token is in the group, else null.
 
-    ``groups(group, category)`` is a small input table (broadcast after a size check); the flags come from
-    one exploded join + pivot on the known group names.
+    ``groups(group, category)`` is a small input table, read as one map from group to words (a scalar subquery).
     """
-    toks = business.select("business_id", F.explode(category_tokens("categories")).alias("category"))
-    hits = (toks.join(bounded_broadcast(groups.select("group", F.lower("category").alias("category"))), "category")
-            .groupBy("business_id").pivot("group", names).agg(F.lit(True)))
-    hits = hits.select("business_id", *[F.when(F.col(n).isNotNull(), F.lit(True)).alias(n) for n in names])
-    return business.join(hits, "business_id", "left")
+    words = groups.groupBy("group").agg(F.collect_set(F.lower("category")).alias("words"))
+    by_group = words.agg(F.map_from_entries(F.collect_list(F.struct("group", "words")))).scalar()
+    b = business.withColumn("_groups", by_group).withColumn("_tokens", category_tokens("categories"))
+    return b.withColumns({n: F.when(F.arrays_overlap("_tokens", F.try_element_at("_groups", F.lit(n))), F.lit(True)) for n in names}).drop(
+        "_groups", "_tokens")
 
 
 def promote_attributes(business: DataFrame, keys: list[str], attr_col: str = "attributes") -> DataFrame:
@@ -93,29 +91,40 @@ def impute(business: DataFrame, bool_cols: list[str], price_col: str = "Restaura
     return out
 
 
-def business_review_features(reviews_loc: DataFrame, users: DataFrame,
-                             sentiment: DataFrame | None = None) -> DataFrame:
-    """A4 + A7 + A8 fused into one aggregation over the reviews of each business."""
-    elite = users.filter(elite_years("elite") > 0).select("user_id", F.lit(1.0).alias("_e"))
-    r = reviews_loc.join(elite, "user_id", "left")
-    aggs = [F.avg(F.col("is_local").cast("double")).alias("local_preference_ratio"),
-            F.avg(F.coalesce("_e", F.lit(0.0))).alias("elite_user_ratio")]
-    if sentiment is not None:
-        r = r.join(sentiment.select("review_id", "vader_compound"), "review_id", "left")
-        aggs.append(F.avg("vader_compound").alias("avg_sentiment"))
-    return r.groupBy("business_id").agg(*aggs)
+def user_business_counts(reviews: DataFrame, business: DataFrame) -> DataFrame:
+    """(user_id, business_id, n, city) - reviews counted by user and business, with the business's city; the feature tables
+    start from it, so the reviews are read once."""
+    pairs = reviews.groupBy("user_id", "business_id").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.join(business.select("business_id", "city"), "business_id", "left")
+
 
+def business_review_features(pairs: DataFrame, users: DataFrame) -> DataFrame:
+    """A7 + A8 from ``user_business_counts``: the user's base city (A1) and elite status meet the counts in one join, and
+    one aggregation by business gives both ratios."""
+    by_city = pairs.filter(F.col("city").isNotNull()).groupBy("user_id", "city").agg(F.sum("n").alias("n"))
+    base = by_city.groupBy("user_id").agg(F.min_by("city", F.struct(-F.col("n"), F.col("city"))).alias("_base"))
+    elite = users.filter(elite_years("elite") > 0).select("user_id", F.lit(1.0).alias("_elite"))
+    who = base.join(elite, "user_id", "full")
+    share = lambda c: F.sum(c * F.col("n")) / F.sum("n")
+    local = F.coalesce(F.col("city") == F.col("_base"), F.lit(False)).cast("double")
+    return pairs.join(who, "user_id", "left").groupBy("business_id").agg(
+        share(local).alias("local_preference_ratio"), share(F.coalesce("_elite", F.lit(0.0))).alias("elite_user_ratio"))
 
-def business_feature_table(business: DataFrame, reviews_loc: DataFrame, users: DataFrame, tips: DataFrame,
+
+def business_feature_table(business: DataFrame, reviews: DataFrame, users: DataFrame, tips: DataFrame,
                            checkins: DataFrame, groups: DataFrame, blocked: DataFrame, group_names: list[str],
                            attribute_keys: list[str], sentiment: DataFrame | None = None) -> DataFrame:
-    """The business feature table: P1 -> P2 -> P3 -> P4 -> P5, plus A17, A18 and the fused
-    review aggregates (A4, A7, A8).  Counts default to 0, ratios stay null when a business
-    has no reviews (as a left join leaves them)."""
+    """The business feature table: P1 -> P2 -> P3 -> P4 -> P5, plus A17, A18 and the review aggregates.
+    Counts default to 0, ratios stay null when a business has no reviews (as a left join leaves them)."""
     b = drop_blocked(food_places(business), blocked)
     b = promote_attributes(group_flags(b, groups, group_names), attribute_keys)
     b = impute(b, group_names + [k for k in attribute_keys if k in IMPUTED_ATTRIBUTES])
-    return (b.join(tip_counts(tips), "business_id", "left")
-            .join(checkin_counts(checkins), "business_id", "left")
-            .join(business_review_features(reviews_loc, users, sentiment), "business_id", "left")
-            .fillna(0, subset=["num_tips", "num_checkins"]))
+    pairs = materialize(user_business_counts(reviews, business))   # read for the base cities and for the ratios
+    out = (b.join(tip_counts(tips), "business_id", "left")
+           .join(checkin_counts(checkins), "business_id", "left")
+           .join(business_review_features(pairs, users), "business_id", "left")
+           .fillna(0, subset=["num_tips", "num_checkins"]))
+    if sentiment is not None:
+        scored = reviews.select("review_id", "business_id").join(sentiment.select("review_id", "vader_compound"), "review_id")
+        out = out.join(avg_sentiment(scored), "business_id", "left")
+    return out

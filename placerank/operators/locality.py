@@ -132,27 +132,54 @@ def temporal_features(reviews: DataFrame) -> DataFrame:
         F.stddev_samp(F.month("date")).alias("seasonal_variation"))
 
 
-def user_activity_features(reviews: DataFrame, business: DataFrame, users: DataFrame,
-                           exact_cities: bool = False) -> DataFrame:
+def city_sketches(reviews: DataFrame, business: DataFrame, bits: int = 12) -> DataFrame:
+    """A24 - (user_id, month, cities): a mergeable sketch of the cities a user reviewed in a month, to be kept and merged
+    over any span of months (``merged_cities``) without the reviews. 2^bits registers; the relative standard error is
+    about 1.04 / sqrt(2^bits)."""
+    r = reviews.join(business.select("business_id", "city"), "business_id", "left")
+    return r.groupBy("user_id", F.date_trunc("month", "date").alias("month")).agg(F.hll_sketch_agg("city", bits).alias("cities"))
+
+
+def merged_cities(sketches: DataFrame) -> DataFrame:
+    """A24 - (user_id, unique_cities): approximate distinct cities over the months given."""
+    return sketches.groupBy("user_id").agg(F.hll_sketch_estimate(F.hll_union_agg("cities")).alias("unique_cities"))
+
+
+def user_activity_features(reviews: DataFrame, business: DataFrame, users: DataFrame) -> DataFrame:
     """J7 + P13 + P14 - the per-user local/tourist feature table.
 
-    Four per-user tables are left-joined on ``user_id``; numeric nulls become 0; then
-    reviews per year, bounding-box radius (built-in haversine, no UDF), compliments
-    and the elite indicator are derived.
+    The reviews are read and joined to the businesses once and summed by user and city; all statistics of a user
+    (A23, A24 with exact cities, A26, and the home city's share, W1) come from those sums. Numeric nulls become 0; then
+    reviews per year, bounding-box radius (built-in haversine, no UDF), compliments and the elite indicator are derived.
     """
     from placerank.functions.expr import elite_years
 
-    rwh = reviews_with_home(reviews.select("user_id", "business_id", "date", "stars"), business)
+    geo = business.select("business_id", "city", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    month = F.month("date")
+    by_city = reviews.select("user_id", "business_id", "date", "stars").join(geo, "business_id", "left").groupBy("user_id", "city").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("stars").alias("stars"), F.max("date").alias("last"), F.min("date").alias("first"),
+        F.count("lat").alias("located"), F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.min("lon").alias("lon0"),
+        F.max("lon").alias("lon1"), F.sum(F.dayofweek("date")).alias("dow"), F.sum(month).alias("m"), F.sum(month * month).alias("mm"))
+    home = F.struct(-F.col("n"), F.col("city").isNull(), F.col("city"))   # as in home_city
+    st = by_city.groupBy("user_id").agg(
+        *[F.sum(c).alias(f"_{c}") for c in ("n", "stars", "dow", "m", "mm")],
+        F.max("last").alias("latest_review_date"), F.min("first").alias("first_review_date"),
+        F.count("city").alias("unique_cities"), F.sum("located").alias("reviews_with_location"), F.min("lat0").alias("min_lat"),
+        F.max("lat1").alias("max_lat"), F.min("lon0").alias("min_lon"), F.max("lon1").alias("max_lon"),
+        F.min_by(F.when(F.col("city").isNotNull(), F.col("n")).otherwise(0), home).alias("_home"))
+    n = F.col("_n").cast("double")
+    stats = st.select(
+        "user_id", F.col("_n").alias("num_reviews"), (F.col("_stars") / n).alias("avg_stars"), "latest_review_date", "first_review_date",
+        "unique_cities", "reviews_with_location", "min_lat", "max_lat", "min_lon", "max_lon", (F.col("_home") / n).alias("home_city_review_ratio"),
+        (F.col("_dow") / n).alias("avg_review_dayofweek"),
+        F.when(n > 1, F.sqrt(F.greatest(F.col("_mm") - F.col("_m") * F.col("_m") / n, F.lit(0.0)) / (n - 1))).alias("seasonal_variation"))
     social = users.select(
         "user_id",
         F.when(F.col("friends").isNull() | (F.col("friends") == "None") | (F.col("friends") == ""), 0)
         .otherwise(F.size(F.split("friends", ","))).alias("num_friends"),
         elite_years("elite").alias("elite_years"),
         "compliment_hot", "compliment_cool", "compliment_funny", F.col("fans").alias("num_fans"))
-    feats = (user_review_stats(reviews)
-             .join(user_geography(rwh, exact=exact_cities), "user_id", "left")
-             .join(temporal_features(reviews), "user_id", "left")
-             .join(social, "user_id", "left"))
+    feats = stats.join(social, "user_id", "left")
     numeric = [f.name for f in feats.schema.fields
                if f.dataType.typeName() in ("double", "long", "integer", "float")]
     feats = feats.fillna(0, subset=numeric)

@@ -13,6 +13,7 @@ MODULES = [
     "placerank.plans.catalog_text",
     "placerank.plans.catalog_misc",
     "placerank.plans.catalog_sources",
+    "placerank.plans.catalog_gaps",
 ]
 
 

@@ -1,6 +1,8 @@
 """Registered queries: home city, locality, user geography and the hidden-gem score."""
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from placerank.operators import gem, locality
 from placerank.plans.registry import query, round_doubles, sql_round
 from placerank.sources import fixtures as fx
@@ -86,6 +88,17 @@ def a24_user_geography(spark, d):
     return round_doubles(locality.user_geography(rwh, exact=True))
 
 
+@query("a24_city_sketches", ctes("business", "reviews") + """SELECT user_id, count(DISTINCT city) AS exact_cities,
+        true AS within_bound FROM reviews r LEFT JOIN business b ON r.business_id = b.business_id GROUP BY user_id""")
+def a24_city_sketches(spark, d):
+    """Monthly sketches merged by user, next to the exact count: at most one city or 5 %, three standard errors, apart."""
+    r, b = fx.reviews(spark, d), fx.business(spark, d)
+    merged = locality.merged_cities(locality.city_sketches(r, b))
+    exact = locality.user_geography(locality.reviews_with_home(r, b), exact=True).select("user_id", F.col("unique_cities").alias("exact_cities"))
+    off = F.abs(F.col("unique_cities") - F.col("exact_cities"))
+    return merged.join(exact, "user_id").select("user_id", "exact_cities", (off <= F.greatest(F.lit(1.0), F.col("exact_cities") * 0.05)).alias("within_bound"))
+
+
 @query("a26_temporal_features", sql_round(ctes("reviews") + """SELECT user_id,
         avg(dayofweek(date) + 1) AS avg_review_dayofweek, stddev_samp(month(date)) AS seasonal_variation
         FROM reviews GROUP BY user_id""", ["avg_review_dayofweek", "seasonal_variation"]))
@@ -200,6 +213,4 @@ ACTIVITY_COLS = ["avg_stars", "min_lat", "max_lat", "min_lon", "max_lon", "home_
                    * pow(sin((radians(max_lon) - radians(min_lon)) / 2), 2) AS a FROM j)
     """.replace("SELECT *,\n        num_reviews", "SELECT * EXCLUDE (a),\n        num_reviews"), ACTIVITY_COLS))
 def j7_user_activity_features(spark, d):
-    feats = locality.user_activity_features(fx.reviews(spark, d), fx.business(spark, d), fx.users(spark, d),
-                                            exact_cities=True)
-    return round_doubles(feats)
+    return round_doubles(locality.user_activity_features(fx.reviews(spark, d), fx.business(spark, d), fx.users(spark, d)))

@@ -131,8 +131,7 @@ BF_CTES = ctes("business", "reviews", "users", "tips", "checkins", "blocked_cate
 
 def business_table(spark, d):
     r, b, u = fx.reviews(spark, d), fx.business(spark, d), fx.users(spark, d)
-    loc = locality.reviews_with_locality(r, b, locality.base_city(r, b))
-    return fb.business_feature_table(b, loc, u, fx.tips(spark, d), fx.checkins(spark, d), fx.category_groups(spark),
+    return fb.business_feature_table(b, r, u, fx.tips(spark, d), fx.checkins(spark, d), fx.category_groups(spark),
                                      fx.blocked_categories(spark), GROUP_NAMES, PROMOTED_ATTRIBUTES)
 
 
@@ -198,10 +197,7 @@ UF_CTES = ctes("business", "reviews", "users", "category_groups",
 
 def user_table(spark, d):
     r, b, u = fx.reviews(spark, d), fx.business(spark, d), fx.users(spark, d)
-    bases = locality.base_city(r, b)
-    loc = locality.reviews_with_locality(r, b, bases)
-    u = locality.attach_state(u.join(bases, "user_id", "left"), locality.city_state(b))
-    return fu.user_features(u, loc, b, fx.category_groups(spark), GROUP_NAMES)
+    return locality.attach_state(fu.user_feature_table(u, r, b, fx.category_groups(spark), GROUP_NAMES), locality.city_state(b))
 
 
 UF_COLS = ["user_id", "base_city", "state_code", "years_elite", "rating_variance", "local_review_ratio",

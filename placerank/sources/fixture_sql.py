@@ -59,9 +59,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         o_custkey AS user_id, l_partkey AS business_id,
         1 + CAST(l_quantity AS INTEGER) % 5 AS stars, o_orderdate AS date
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),
-    "tips": ([], """SELECT event_id % 2000 AS business_id, user_id, ts AS date
+    "tips": ([], """SELECT event_id % (SELECT max(p_partkey) + 1 FROM part) AS business_id, user_id, ts AS date
         FROM events WHERE event_type = 'click'"""),
-    "checkins": ([], """SELECT event_id % 2000 AS business_id,
+    "checkins": ([], """SELECT event_id % (SELECT max(p_partkey) + 1 FROM part) AS business_id,
         CASE WHEN event_id % 3 = 0
              THEN strftime(ts, '%Y-%m-%d %H:%M:%S') || ',' || strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S')
              ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS date

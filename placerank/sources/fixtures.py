@@ -157,11 +157,17 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _event_business(spark: SparkSession, sf_dir: str) -> Column:
+    """Events over the part table's whole key range."""
+    keys = table(spark, sf_dir, "part").agg(F.max("p_partkey") + 1).scalar()
+    return (F.col("event_id") % keys).alias("business_id")
+
+
 def tips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tip per click event: business_id, user_id, date."""
     e = table(spark, sf_dir, "events")
     return e.filter(F.col("event_type") == "click").select(
-        (F.col("event_id") % 2000).alias("business_id"), "user_id", F.col("ts").alias("date"))
+        _event_business(spark, sf_dir), "user_id", F.col("ts").alias("date"))
 
 
 def checkins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +176,7 @@ def checkins(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     ts2 = F.date_format(F.col("ts") + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd HH:mm:ss")
     return e.filter(F.col("event_type") == "view").select(
-        (F.col("event_id") % 2000).alias("business_id"),
+        _event_business(spark, sf_dir),
         F.when(F.col("event_id") % 3 == 0, F.concat_ws(",", ts, ts2)).otherwise(ts).alias("date"),
     )
 
