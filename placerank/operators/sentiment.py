@@ -36,21 +36,19 @@ def _in_capitals(token: Column) -> Column:
     return token.rlike("[A-Z]") & ~token.rlike("[a-z]")
 
 
-def _arr(words):
-    return F.array(*[F.lit(w) for w in words])
-
-
 def _word_flags(w: Column, before: Column, decay: float, emphasis: Column) -> tuple[Column, Column]:
     """(is-negation 0/1, booster increment) of one context word and the word before it (null -> 0, 0)."""
     low, phrase = F.lower(w), F.concat(F.lower(before), F.lit(" "), F.lower(w))
 
     def listed(words: list[str]) -> Column:
-        return F.coalesce(F.array_contains(_arr(words), low), F.lit(False)) | F.coalesce(F.array_contains(_arr(words), phrase), F.lit(False))
+        two = [x for x in words if " " in x]
+        hit = F.coalesce(low.isin(words), F.lit(False))
+        return hit | F.coalesce(phrase.isin(two), F.lit(False)) if two else hit
 
-    is_neg = F.coalesce(F.array_contains(_arr(NEGATION_WORDS), low) | low.endswith("n't"), F.lit(False))
+    is_neg = F.coalesce(low.isin(NEGATION_WORDS) | low.endswith("n't"), F.lit(False))
     sign = F.when(listed(BOOSTER_UP), 1.0).when(listed(BOOSTER_DOWN), -1.0).otherwise(0.0)
     caps = F.when(emphasis & F.coalesce(_in_capitals(w), F.lit(False)), SENT_CAPS_INCREMENT).otherwise(0.0)
-    return F.when(is_neg, 1).otherwise(0), sign * (SENT_BOOST_INCREMENT + caps) * decay
+    return F.when(is_neg, 1).otherwise(0), F.when(sign == 0.0, 0.0).otherwise(sign * (SENT_BOOST_INCREMENT + caps) * decay)
 
 
 def review_sentiment(reviews: DataFrame, lexicon: DataFrame, text_col: str = "text",
@@ -73,31 +71,33 @@ def review_sentiment(reviews: DataFrame, lexicon: DataFrame, text_col: str = "te
     n = F.size("_toks")
 
     def shifted(k):
-        return F.concat(F.array_repeat(F.lit(None).cast("string"), F.least(n, F.lit(k))),
+        """The tokens k places on, after the empty entry of the row itself."""
+        return F.concat(F.array_repeat(F.lit(None).cast("string"), F.least(n, F.lit(k)) + 1),
                         F.slice("_toks", 1, F.greatest(n - k, F.lit(0))))
 
     n_caps = F.size(F.filter("_toks", _in_capitals))
     lows = F.transform("_toks", lambda t: F.lower(t))
     facts = F.struct("_own", n.alias("n"), "_bang", "_qm")
     shifts = base.select("_row", facts.alias("_facts"), ((n_caps > 0) & (n_caps < n)).alias("_emphasis"), F.array_position(lows, "but").alias("_fb"),
-                         F.col("_toks").alias("t0"), *[shifted(k).alias(f"p{k}") for k in (1, 2, 3, 4)])
-    each = (shifts.select("_row", "_facts", "_emphasis", "_fb", F.posexplode_outer(F.arrays_zip("t0", "p1", "p2", "p3", "p4")).alias("pos", "e"))
-            .select("_row", "_facts", "_emphasis", "_fb", "pos", F.lower("e.t0").alias("_word"), "e.*")
-            .join(lex, "_word", "left"))
-    negs, boost = F.lit(0), F.lit(0.0)
+                         *[shifted(k).alias(f"p{k}") for k in range(5)])
+    # place 0 is the row itself; of the tokens, only those of the lexicon go on
+    each = (shifts.select("_row", "_facts", "_emphasis", "_fb", F.posexplode(F.arrays_zip(*[f"p{k}" for k in range(5)])).alias("pos", "e"))
+            .select("_row", "_facts", "_emphasis", "_fb", "pos", F.lower("e.p0").alias("_word"), "e.*")
+            .join(lex, "_word", "left").filter((F.col("pos") == 0) | F.col("_valence").isNotNull()))
     for k, decay in zip((1, 2, 3), SENT_BOOST_DECAY):
-        ng, bs = _word_flags(F.col(f"p{k}"), F.col(f"p{k + 1}"), decay, F.col("_emphasis"))
-        negs, boost = negs + ng, boost + bs
-    pos1 = F.col("pos") + 1   # 1-based, like array_position
-    but_w = (F.when(F.col("_fb") == 0, F.lit(1.0)).when(pos1 < F.col("_fb"), F.lit(SENT_BUT_BEFORE))
-             .when(pos1 > F.col("_fb"), F.lit(SENT_BUT_AFTER)).otherwise(F.lit(1.0)))
+        neg, add = _word_flags(F.col(f"p{k}"), F.col(f"p{k + 1}"), decay, F.col("_emphasis"))
+        each = each.withColumns({f"_neg{k}": neg, f"_add{k}": add})
+    each = each.withColumns({"_negs": F.col("_neg1") + F.col("_neg2") + F.col("_neg3"), "_boost": F.col("_add1") + F.col("_add2") + F.col("_add3")})
+    negs, boost = F.col("_negs"), F.col("_boost")
+    but_w = (F.when(F.col("_fb") == 0, F.lit(1.0)).when(F.col("pos") < F.col("_fb"), F.lit(SENT_BUT_BEFORE))
+             .when(F.col("pos") > F.col("_fb"), F.lit(SENT_BUT_AFTER)).otherwise(F.lit(1.0)))
     v = F.col("_valence")
-    caps = F.when(F.col("_emphasis") & _in_capitals(F.col("t0")), SENT_CAPS_INCREMENT).otherwise(0.0)
+    caps = F.when(F.col("_emphasis") & _in_capitals(F.col("p0")), SENT_CAPS_INCREMENT).otherwise(0.0)
     v = v + F.when(v > 0, boost + caps).when(v < 0, -boost - caps).otherwise(F.lit(0.0))
     v = v * F.pow(F.lit(SENT_NEGATION_SCALAR), negs) * but_w
     scored = each.select("_row", "_facts", F.when(F.col("_valence").isNotNull(), v).alias("v"))
-    j = scored.groupBy("_row").agg(
-        F.first("_facts").alias("_facts"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("_s"),
+    j = scored.groupBy("_row", "_facts").agg(
+        F.coalesce(F.sum("v"), F.lit(0.0)).alias("_s"),
         F.coalesce(F.sum(F.when(F.col("v") > 0, F.col("v") + 1.0)), F.lit(0.0)).alias("_pos"),
         F.coalesce(F.sum(F.when(F.col("v") < 0, F.col("v") - 1.0)), F.lit(0.0)).alias("_negs"),
         F.count(F.when(F.col("v") != 0, 1)).alias("_scored"))
