@@ -1,25 +1,27 @@
 """Linking of near-equal items that meet in buckets, and connected components.
 
 ``link`` finds the connected groups of the graph "two items share a bucket and pass a check"
-without forming all pairs of a bucket. Every item of a bucket is first compared with one pivot of
-the bucket (a number of pairs linear in the bucket's size); the components of what passed then
-name groups. Two items need no comparison once they are in one group, so later rounds look only at
-buckets that still hold several groups: they compare against another pivot, or - when the pairs
-between different groups are few - compare all of those. It ends only when each pair that shares
-a bucket was compared or lies in one group, so the groups are those of the full graph.
+without forming all pairs of a large bucket. Members of a bucket of at most ``SMALL`` are compared with each other. In
+a larger one each member is compared with the bucket's most central member (the one whose buckets hold most others, as
+the text that all copies come from) and with ``NEIGHBOURS`` members next to it in the order of the marks, which puts
+alike ones side by side in some of their buckets. The components of what passed name groups. Later rounds
+look only at large buckets that still hold several groups and compare against other pivots, as long as these join
+groups or until the pairs between different groups are few, which are then compared. So the number of compared
+pairs stays in proportion to the rows; a link between two items of a large bucket whose members are nearly, but not
+quite, alike can be missed. ``exact=True`` compares all pairs that are left.
 """
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placerank.llm.common import saved
 
-# Pairs between different groups are all compared once there is at most one for so many member rows, or
-# once pivots no longer join groups.
+# Pairs between different groups are all compared once there is at most one for so many member rows.
 ROWS_PER_PAIR = 4
+SMALL, NEIGHBOURS = 16, 6
 # at most 32 bytes a row: 3.2 MB
 BROADCAST_ROWS = 100_000
 # 1.6 MB of edges
@@ -66,15 +68,16 @@ def few(df: DataFrame) -> DataFrame:
 
 
 def link(members: DataFrame, near: Callable[[Column, Column], Column], details: Callable[[DataFrame], DataFrame],
-         check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+         check: Callable[[DataFrame], DataFrame], order: Callable[[Column, Column], Column], exact: bool = False) -> DataFrame:
     """Groups of ``members (bucket long, node long, mark)`` -> (node, root) for nodes in groups of two or more.
 
     ``near`` is a cheap condition on the marks of two nodes that linked pairs always meet; it is tested where
-    members of a bucket are joined. ``details`` takes nodes (node) of pairs that passed it, each node once, and returns
-    (node, t); ``check`` takes distinct pairs (a, b, t_a, t_b) and returns those (a, b) that belong together.
+    members of a bucket are joined. ``order`` sorts the members of a large bucket by (mark, bucket) so that alike
+    ones come together, in another way for each bucket. ``details`` takes nodes (node) of pairs that passed ``near``, each node
+    once, and returns (node, t); ``check`` takes distinct pairs (a, b, t_a, t_b) and returns those (a, b) that belong together.
     """
-    seen = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    hold = saved(members.join(seen.select("bucket", "low"), "bucket"), "buckets")
+    seen = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low < high")
+    hold = saved(members.join(seen.select("bucket", "n"), "bucket"), "buckets")
     rows = hold.count()
     about = None
 
@@ -87,36 +90,51 @@ def link(members: DataFrame, near: Callable[[Column, Column], Column], details:
         a, b = (about.select(F.col("node").alias(c), F.col("t").alias(f"t_{c}")) for c in "ab")
         return saved(check(pairs.join(a, "a").join(b, "b")), "links")
 
-    low = hold.filter("node = low").select("bucket", "low", F.col("mark").alias("low_mark")).distinct()
-    pairs = hold.filter("node <> low").drop("low").join(low, "bucket").filter(near(F.col("mark"), F.col("low_mark")))
-    edges = linked(pairs.select(F.col("low").alias("a"), F.col("node").alias("b")))
+    def both(left: DataFrame, right: DataFrame, other: Column) -> DataFrame:
+        """Pairs of members of a bucket, the smaller node first."""
+        x = left.select("bucket", F.col("node").alias("a"), F.col("mark").alias("ma"), *[c for c in ("root",) if c in left.columns])
+        y = right.select("bucket", F.col("node").alias("b"), F.col("mark").alias("mb"), *[F.col(c).alias("root_b") for c in ("root",) if c in right.columns])
+        return x.join(y, "bucket").filter(other & near(F.col("ma"), F.col("mb"))).select("a", "b")
+
+    small, large = hold.filter(F.col("n") <= SMALL), hold.filter(F.col("n") > SMALL)
+    pairs = both(small, small, F.col("a") < F.col("b"))
+    large = saved(large.join(large.groupBy("node").agg(F.sum("n").alias("central")), "node"), "large")
+    if not large.isEmpty():
+        pivot = large.groupBy("bucket").agg(F.max_by(F.struct("node", "mark"), F.struct("central", "node")).alias("p")).select("bucket", "p.*")
+        first = both(large, pivot, F.col("a") != F.col("b"))
+        place = Window.partitionBy("bucket").orderBy(order(F.col("mark"), F.col("bucket")), "node")
+        beside = large.select("node", "mark", *[F.lag(F.struct("node", "mark"), k).over(place).alias(f"o{k}") for k in range(1, NEIGHBOURS + 1)])
+        beside = beside.select("node", "mark", F.explode(F.array(*[f"o{k}" for k in range(1, NEIGHBOURS + 1)])).alias("o")).filter(
+            F.col("o").isNotNull() & near(F.col("mark"), F.col("o.mark"))).select(F.col("node").alias("a"), F.col("o.node").alias("b"))
+        pairs = pairs.unionByName(first).unionByName(beside)
+    edges = linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     left, turn = None, 0
     while True:
         # after the first round the groups so far, each a star, stand for the links that made them
         groups = saved(components(edges), "groups")
         stars = groups.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        labelled = hold.drop("low").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        per_root = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        # the next pivots are members of the bucket's largest group, which most others should join, and of its
-        # smallest, whose strangers are settled first
+        labelled = large.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        per_root = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
+        # the next pivots are the most central members of the bucket's largest group, which most others should join,
+        # and of its smallest, whose strangers are settled first
         open_ = saved(per_root.groupBy("bucket").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"),
-            F.min_by("root", F.struct("n", "root")).alias("small"), F.max_by("root", F.struct("n", "root")).alias("large"))
-            .filter("n * n > n2 and n > 2"), "open")
-        # pairs of different groups, but for two lone members, which the last round compared
-        todo = open_.agg(F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2)).first()[0]
+            F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("m2"),
+            F.min_by("root", F.struct("m", "root")).alias("few"), F.max_by("root", F.struct("m", "root")).alias("many"))
+            .filter("m * m > m2"), "open")
+        todo = open_.agg(F.sum((F.col("m") * F.col("m") - F.col("m2")) / 2)).first()[0]
         if not todo:
             return groups
         still = labelled.join(open_, "bucket")
         turn += 1
-        if todo <= rows / ROWS_PER_PAIR + 1000 or (left is not None and todo > 0.9 * left):
-            x, y = still.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("mark").alias("ma")), \
-                still.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("mark").alias("mb"))
-            meet = (x.bucket == y.bucket) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-            found = linked(x.join(y, meet & near(F.col("ma"), F.col("mb"))))
+        stalled = left is not None and todo > 0.9 * left
+        if stalled and not exact:
+            return groups
+        if todo <= rows / ROWS_PER_PAIR + 1000 or stalled:
+            found = linked(both(still, still, (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))))
             return saved(components(stars.unionByName(found)), "groups")
         left = todo
-        pivot = still.filter("root = small or root = large").groupBy("bucket", F.col("root").alias("r")).agg(
-            F.min_by(F.struct("node", "mark"), F.xxhash64("node", F.lit(turn))).alias("p"))
-        pairs = still.join(pivot, "bucket").filter((F.col("root") != F.col("r")) & near(F.col("mark"), F.col("p.mark")))
-        edges = stars.unionByName(linked(pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))))
+        rank = F.struct("central", "node") if turn == 1 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
+        pivot = still.filter("root = few or root = many").groupBy("bucket", "root").agg(
+            F.max_by(F.struct("node", "mark"), rank).alias("p")).select("bucket", "root", "p.*")
+        pairs = both(still, pivot, F.col("root") != F.col("root_b"))
+        edges = stars.unionByName(linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))

@@ -34,6 +34,8 @@ CLASS[48:58] = 4
 CLASS[[33, 34, 39, 44, 45, 46, 58, 59, 63]] = 5
 CLASS[_b >= 128] = 7
 WIDTH = 64 + 5
+# bytes of text encoded at a time; a byte takes some 60 bytes of arrays
+CHUNK = 1 << 18
 
 
 def encode(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_documents: int = 4000, max_
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, y, ids = batch.column("_text"), batch.column("_y"), batch.column("_id")
-            for i, buf, off in pieces(text):
+            for i, buf, off in pieces(text, CHUNK):
                 n = len(off) - 1
                 x, owner = encode(buf, off)
                 first = np.searchsorted(owner, np.arange(n + 1))
@@ -200,7 +202,7 @@ def quality_score(text: Column, model: AttentionModel) -> Column:
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            parts = [model.score(*encode(buf, off), len(off) - 1) for _, buf, off in pieces(texts)]
+            parts = [model.score(*encode(buf, off), len(off) - 1) for _, buf, off in pieces(texts, CHUNK)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return score(text)
