@@ -416,7 +416,10 @@ def test_line_links_match_brute_force(spark):
             v[rng.randrange(40)] = f"v{rng.randrange(1000)}"
             lines.append(" ".join(v))
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    fp = {r["doc_id"]: r["fp"] for r in got(ld.fingerprints(df))}
+    texts = ld.different_lines(ld.word_lines(df)).select("node", "n_words", "t").collect()
+    number = {t: i for i, t in enumerate(lines)}
+    prints = {r["node"]: r["fp"] for r in got(ld.fingerprints(spark.createDataFrame(texts, "node long, n_words int, t string")))}
+    fp = {number[r["t"]]: prints[r["node"]] for r in texts}
     parent = list(range(len(lines)))
 
     def find(i):
