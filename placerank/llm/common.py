@@ -23,7 +23,16 @@ def saved(df: DataFrame, label: str = "step") -> DataFrame:
     here, and a lost executor costs no recomputation of what came before."""
     path = shared_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a ``saved`` table that nothing reads any more, once what was made of it is saved itself."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.saved_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def whole_text(col: str | Column = "text") -> Column:

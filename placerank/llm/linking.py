@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placerank.llm.common import saved
+from placerank.llm.common import discard, saved
 
 # Pairs between different groups are all compared once there is at most one for so many member rows.
 ROWS_PER_PAIR = 4
@@ -68,13 +68,15 @@ def few(df: DataFrame) -> DataFrame:
 
 
 def link(members: DataFrame, near: Callable[[Column, Column], Column], details: Callable[[DataFrame], DataFrame],
-         check: Callable[[DataFrame], DataFrame], order: Callable[[Column, Column], Column], exact: bool = False) -> DataFrame:
+         check: Callable[[DataFrame], DataFrame], order: Callable[[Column, Column], Column], exact: bool = False,
+         central: bool = True) -> DataFrame:
     """Groups of ``members (bucket long, node long, mark)`` -> (node, root) for nodes in groups of two or more.
 
     ``near`` is a cheap condition on the marks of two nodes that linked pairs always meet; it is tested where
     members of a bucket are joined. ``order`` sorts the members of a large bucket by (mark, bucket) so that alike
     ones come together, in another way for each bucket. ``details`` takes nodes (node) of pairs that passed ``near``, each node
     once, and returns (node, t); ``check`` takes distinct pairs (a, b, t_a, t_b) and returns those (a, b) that belong together.
+    Without ``central`` the first pivots are any members, for buckets that say little about the likeness of their members.
     """
     seen = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low < high")
     hold = saved(members.join(seen.select("bucket", "n"), "bucket"), "buckets")
@@ -88,7 +90,9 @@ def link(members: DataFrame, near: Callable[[Column, Column], Column], details:
         more = saved(details(nodes if about is None else nodes.join(about.select("node"), "node", "left_anti")), "details")
         about = more if about is None else about.unionByName(more)
         a, b = (about.select(F.col("node").alias(c), F.col("t").alias(f"t_{c}")) for c in "ab")
-        return saved(check(pairs.join(a, "a").join(b, "b")), "links")
+        links = saved(check(pairs.join(a, "a").join(b, "b")), "links")
+        discard(pairs)
+        return links
 
     def both(left: DataFrame, right: DataFrame, other: Column) -> DataFrame:
         """Pairs of members of a bucket, the smaller node first."""
@@ -98,7 +102,10 @@ def link(members: DataFrame, near: Callable[[Column, Column], Column], details:
 
     small, large = hold.filter(F.col("n") <= SMALL), hold.filter(F.col("n") > SMALL)
     pairs = both(small, small, F.col("a") < F.col("b"))
-    large = saved(large.join(large.groupBy("node").agg(F.sum("n").alias("central")), "node"), "large")
+    if central:
+        large = saved(large.join(large.groupBy("node").agg(F.sum("n").alias("central")), "node"), "large")
+    else:
+        large = large.withColumn("central", F.xxhash64("node"))
     if not large.isEmpty():
         pivot = large.groupBy("bucket").agg(F.max_by(F.struct("node", "mark"), F.struct("central", "node")).alias("p")).select("bucket", "p.*")
         first = both(large, pivot, F.col("a") != F.col("b"))
@@ -108,10 +115,12 @@ def link(members: DataFrame, near: Callable[[Column, Column], Column], details:
             F.col("o").isNotNull() & near(F.col("mark"), F.col("o.mark"))).select(F.col("node").alias("a"), F.col("o.node").alias("b"))
         pairs = pairs.unionByName(first).unionByName(beside)
     edges = linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    left, turn = None, 0
+    left, turn, groups = None, 0, None
     while True:
         # after the first round the groups so far, each a star, stand for the links that made them
-        groups = saved(components(edges), "groups")
+        last, groups = groups, saved(components(edges), "groups")
+        if last is not None:
+            discard(last)
         stars = groups.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         labelled = large.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
         per_root = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
