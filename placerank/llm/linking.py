@@ -3,10 +3,10 @@
 ``link`` finds the connected groups of the graph "two items share a bucket and pass a check"
 without forming all pairs of a large bucket. Members of a bucket of at most ``SMALL`` are compared with each other. In
 a larger one each member is compared with the bucket's most central member (the one whose buckets hold most others, as
-the text that all copies come from) and with ``NEIGHBOURS`` members next to it in the order of the marks, which puts
-alike ones side by side in some of their buckets. The components of what passed name groups. Later rounds
-look only at large buckets that still hold several groups and compare against other pivots, as long as these join
-groups or until the pairs between different groups are few, which are then compared. So the number of compared
+the text that all copies come from). The components of what passed name groups. Later rounds look only at
+large buckets that still hold several groups: members are compared once with ``NEIGHBOURS`` members of other groups next to
+them in the order of the marks, which puts alike ones side by side in some of their buckets, and with further pivots, as
+long as these join groups or until the pairs between different groups are few, which are then compared. So the number of compared
 pairs stays in proportion to the rows; a link between two items of a large bucket whose members are nearly, but not
 quite, alike can be missed. ``exact=True`` compares all pairs that are left.
 """
@@ -100,6 +100,14 @@ def link(members: DataFrame, near: Callable[[Column, Column], Column], details:
         y = right.select("bucket", F.col("node").alias("b"), F.col("mark").alias("mb"), *[F.col(c).alias("root_b") for c in ("root",) if c in right.columns])
         return x.join(y, "bucket").filter(other & near(F.col("ma"), F.col("mb"))).select("a", "b")
 
+    def beside(members: DataFrame) -> DataFrame:
+        """Pairs of members of different groups that are neighbours in the order of their bucket."""
+        place, ks = Window.partitionBy("bucket").orderBy(order(F.col("mark"), F.col("bucket")), "node"), range(1, NEIGHBOURS + 1)
+        rows = members.select("node", "mark", "root", *[F.lag(F.struct("node", "mark", "root"), k).over(place).alias(f"o{k}") for k in ks])
+        rows = rows.select("node", "mark", "root", F.explode(F.array(*[f"o{k}" for k in ks])).alias("o")).filter(
+            (F.col("root") != F.col("o.root")) & near(F.col("mark"), F.col("o.mark")))
+        return rows.select(F.col("node").alias("a"), F.col("o.node").alias("b"))
+
     small, large = hold.filter(F.col("n") <= SMALL), hold.filter(F.col("n") > SMALL)
     pairs = both(small, small, F.col("a") < F.col("b"))
     if central:
@@ -108,12 +116,7 @@ def link(members: DataFrame, near: Callable[[Column, Column], Column], details:
         large = large.withColumn("central", F.xxhash64("node"))
     if not large.isEmpty():
         pivot = large.groupBy("bucket").agg(F.max_by(F.struct("node", "mark"), F.struct("central", "node")).alias("p")).select("bucket", "p.*")
-        first = both(large, pivot, F.col("a") != F.col("b"))
-        place = Window.partitionBy("bucket").orderBy(order(F.col("mark"), F.col("bucket")), "node")
-        beside = large.select("node", "mark", *[F.lag(F.struct("node", "mark"), k).over(place).alias(f"o{k}") for k in range(1, NEIGHBOURS + 1)])
-        beside = beside.select("node", "mark", F.explode(F.array(*[f"o{k}" for k in range(1, NEIGHBOURS + 1)])).alias("o")).filter(
-            F.col("o").isNotNull() & near(F.col("mark"), F.col("o.mark"))).select(F.col("node").alias("a"), F.col("o.node").alias("b"))
-        pairs = pairs.unionByName(first).unionByName(beside)
+        pairs = pairs.unionByName(both(large, pivot, F.col("a") != F.col("b")))
     edges = linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     left, turn, groups = None, 0, None
     while True:
@@ -146,4 +149,6 @@ def link(members: DataFrame, near: Callable[[Column, Column], Column], details:
         pivot = still.filter("root = few or root = many").groupBy("bucket", "root").agg(
             F.max_by(F.struct("node", "mark"), rank).alias("p")).select("bucket", "root", "p.*")
         pairs = both(still, pivot, F.col("root") != F.col("root_b"))
+        if turn == 1:
+            pairs = pairs.unionByName(beside(still))
         edges = stars.unionByName(linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
