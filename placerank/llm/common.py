@@ -28,6 +28,12 @@ def saved(df: DataFrame, label: str = "step") -> DataFrame:
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: its cleaner works when the driver collects garbage, which
+    a driver with little to do may not come to for half an hour."""
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a ``saved`` table that nothing reads any more, once what was made of it is saved itself."""
     jvm = df.sparkSession._jvm

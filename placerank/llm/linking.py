@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placerank.llm.common import discard, saved
+from placerank.llm.common import discard, saved, tidy
 
 # Pairs between different groups are all compared once there is at most one for so many member rows.
 ROWS_PER_PAIR = 4
@@ -80,6 +80,7 @@ def link(members: DataFrame, near: Callable[[Column, Column], Column], details:
     """
     seen = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low < high")
     hold = saved(members.join(seen.select("bucket", "n"), "bucket"), "buckets")
+    tidy(hold.sparkSession)
     rows = hold.count()
     about = None
 
@@ -92,6 +93,7 @@ def link(members: DataFrame, near: Callable[[Column, Column], Column], details:
         a, b = (about.select(F.col("node").alias(c), F.col("t").alias(f"t_{c}")) for c in "ab")
         links = saved(check(pairs.join(a, "a").join(b, "b")), "links")
         discard(pairs)
+        tidy(links.sparkSession)
         return links
 
     def both(left: DataFrame, right: DataFrame, other: Column) -> DataFrame:
@@ -104,8 +106,8 @@ def link(members: DataFrame, near: Callable[[Column, Column], Column], details:
         """Pairs of members of different groups that are neighbours in the order of their bucket."""
         place, ks = Window.partitionBy("bucket").orderBy(order(F.col("mark"), F.col("bucket")), "node"), range(1, NEIGHBOURS + 1)
         rows = members.select("node", "mark", "root", *[F.lag(F.struct("node", "mark", "root"), k).over(place).alias(f"o{k}") for k in ks])
-        rows = rows.select("node", "mark", "root", F.explode(F.array(*[f"o{k}" for k in ks])).alias("o")).filter(
-            (F.col("root") != F.col("o.root")) & near(F.col("mark"), F.col("o.mark")))
+        wanted = F.filter(F.array(*[f"o{k}" for k in ks]), lambda o: o.isNotNull() & (o["root"] != F.col("root")) & near(F.col("mark"), o["mark"]))
+        rows = rows.select("node", F.explode(wanted).alias("o"))
         return rows.select(F.col("node").alias("a"), F.col("o.node").alias("b"))
 
     small, large = hold.filter(F.col("n") <= SMALL), hold.filter(F.col("n") > SMALL)
