@@ -88,6 +88,42 @@ def m12_nmf_test_metrics(spark, d):
     return round_doubles(metrics.evaluate(als.predict_nmf(fitted, tt.filter(F.col("split") == "test"))))
 
 
+# ---- what of these two SQL can follow: the residuals that ALS gets, and its last half step at rank 1 ----
+@query("m10_residuals", sql_round(ctes("reviews", extra=MODEL + ",\n    " + _baseline_sql(10)) + """SELECT r_.user_id, r_.business_id,
+    r_.r - (SELECT mu FROM mu) - u.bu - i.bi AS res FROM r_ JOIN bu10 u ON r_.user_id = u.user_id JOIN bi10 i ON r_.business_id = i.business_id""",
+    ["res"]))
+def m10_residuals(spark, d):
+    train = train_test(spark, d).filter(F.col("split") == "train")
+    return round_doubles(als.residuals(baseline.fit_baseline(train, n_epochs=10), train).select("user_id", "business_id", "res"))
+
+
+def _half_steps(spark, d, nonnegative):
+    """(user_id, solved): whether a user's factor solves the last half step, to the precision of 32-bit factors."""
+    train = train_test(spark, d).filter(F.col("split") == "train")
+    if nonnegative:
+        _, model, users, items = als.fit_nmf(train, rank=1, max_iter=5, reg=0.06, seed=23)
+        value = F.col("stars").cast("double")
+    else:
+        base, model, users, items = als.fit_biased_mf(train, rank=1, max_iter=5, reg=0.02, seed=23, baseline_epochs=5)
+        train, value = als.residuals(base, train), F.col("res")
+    rows = train.join(users, "user_id").join(items, "business_id").select("uix", "iix", value.alias("value"))
+    gap = als.half_step_gap(model, rows, 0.06 if nonnegative else 0.02, nonnegative)
+    return gap.join(users, "uix").select("user_id", (F.col("gap") < 1e-3).alias("solved"))
+
+
+_SOLVED = ctes("reviews", extra=MODEL) + "SELECT DISTINCT user_id, true AS solved FROM split WHERE split = 'train'"
+
+
+@query("m10_half_step", _SOLVED)
+def m10_half_step(spark, d):
+    return _half_steps(spark, d, False)
+
+
+@query("m12_half_step", _SOLVED)
+def m12_half_step(spark, d):
+    return _half_steps(spark, d, True)
+
+
 # ---- model comparison over the SQL-expressible models (exact oracle) ----
 def _compare_predictions(spark, d):
     tt = train_test(spark, d)

@@ -154,18 +154,15 @@ def test_grid_equals_single_fits(spark):
     assert len(got) == 4
 
 
-def test_nonnegative_user_factors_solve_their_half_step(spark):
+def test_user_factors_solve_their_half_step(spark):
     from placerank.models import als
     r = _planted(spark, 20, 15)
     _, model, users, items = als.fit_nmf(r, rank=1, max_iter=3, reg=0.1)
-    p = {x.id: x.features[0] for x in model.userFactors.collect()}
-    q = {x.id: x.features[0] for x in model.itemFactors.collect()}
-    iix = {x.business_id: x.iix for x in items.collect()}
-    rows = r.toPandas()
-    for u in users.collect():
-        mine = rows[rows.user_id == u.user_id]
-        f = np.array([q[iix[i]] for i in mine.business_id])
-        assert abs(p[u.uix] - max(0.0, (f @ mine.stars) / (f @ f + 0.1 * len(f)))) < 1e-4
+    rows = r.join(users, "user_id").join(items, "business_id").select("uix", "iix", F.col("stars").alias("value"))
+    gaps = [x.gap for x in als.half_step_gap(model, rows, 0.1, True).collect()]
+    assert len(gaps) == 20 and max(gaps) < 1e-4
+    wrong = [x.gap for x in als.half_step_gap(model, rows, 0.3, True).collect()]
+    assert max(wrong) > 1e-3
 
 
 def test_svdpp_training_error_falls(spark):
