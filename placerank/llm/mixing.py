@@ -22,7 +22,7 @@ REST = "*"
 # topic: marks of which a text holds at least one; the first topic that fits counts, else "prose"
 TOPIC_MARKS: Mapping[str, Sequence[str]] = {"legal": ("icense",), "contact": ("@",), "table": (" | ",)}
 SOURCE_TARGETS: Mapping[str, float] = {"src0": 0.25, REST: 0.75}
-LANG_TARGETS: Mapping[str, float] = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
+LANG_TARGETS: Mapping[str, float] = {"en": 0.53, "de": 0.15, "fr": 0.15, "es": 0.15, REST: 0.02}
 TOPIC_TARGETS: Mapping[str, float] = {"prose": 0.90, "legal": 0.04, "contact": 0.03, "table": 0.03}
 ITERATIONS = 100
 MAX_WEIGHT = 5.0

@@ -165,11 +165,10 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_FOLDS == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_documents: int = 4000, max_passages: int = 64,
-          **options) -> AttentionModel:
+def train(docs: DataFrame, labels: DataFrame, *, max_documents: int = 4000, **options) -> AttentionModel:
     """Fit on a bounded sample: the ``max_documents`` labelled, not held-out documents with the smallest
-    hash of their id; of a longer training document ``max_passages`` evenly spaced passages are used.
-    At most 4000 x 64 x 69 floats (71 MB) reach the driver. A document with several labels counts with
+    hash of their id, with all their passages. A passage of 64 words reaches the driver as 69 floats, less than
+    its text takes. A document with several labels counts with
     its lowest; null ids and null labels are left out; a label without a document has no effect."""
     picked = (labels.filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id")))
               .groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_y"))
@@ -183,11 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_documents: int = 4000, max_
                 n = len(off) - 1
                 x, owner = encode(buf, off)
                 first = np.searchsorted(owner, np.arange(n + 1))
-                out = []
-                for k in range(n):
-                    a, b = first[k], first[k + 1]
-                    at = np.unique(np.linspace(a, b - 1, min(b - a, max_passages)).astype(int)) if b > a else []
-                    out.append(x[at].tobytes() if b > a else b"")
+                out = [x[first[k]:first[k + 1]].tobytes() for k in range(n)]
                 yield pa.record_batch([ids.slice(i, n), y.slice(i, n).cast(pa.int32()), pa.array(out, pa.binary())],
                                       names=["_id", "_y", "x"])
 

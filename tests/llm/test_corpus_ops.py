@@ -369,6 +369,15 @@ def test_mixing_samples_by_probability(spark):
     assert abs(share - 0.25) < 0.03 and all(r["kept"] for r in out if r["source"] == "src1")
 
 
+def test_mixing_keeps_other_languages(spark):
+    from placerank.llm.mixing import mix_sources
+
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("some words here").alias("text"), F.lit("src1").alias("source"),
+                                  F.when(F.col("id") % 100 == 0, None).when(F.col("id") % 50 == 0, "it").otherwise("en").alias("lang"))
+    out = got(mix_sources(df))
+    assert all(r["probability"] > 0 for r in out) and {r["lang"] for r in out if r["kept"]} == {"en", "it", None}
+
+
 def test_mixing_trims_weights(spark):
     from placerank.llm.mixing import rake
 
