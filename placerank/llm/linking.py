@@ -22,6 +22,7 @@ from placerank.llm.common import discard, saved, tidy
 # Pairs between different groups are all compared once there is at most one for so many member rows.
 ROWS_PER_PAIR = 4
 SMALL, NEIGHBOURS = 16, 6
+PARTS, PART_PAIRS = 4, 200_000
 # at most 32 bytes a row: 3.2 MB
 BROADCAST_ROWS = 100_000
 # 1.6 MB of edges
@@ -69,17 +70,19 @@ def few(df: DataFrame) -> DataFrame:
 
 def link(members: DataFrame, near: Callable[[Column, Column], Column], details: Callable[[DataFrame], DataFrame],
          check: Callable[[DataFrame], DataFrame], order: Callable[[Column, Column], Column], exact: bool = False,
-         central: bool = True) -> DataFrame:
+         central: bool = True, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Groups of ``members (bucket long, node long, mark)`` -> (node, root) for nodes in groups of two or more.
 
     ``near`` is a cheap condition on the marks of two nodes that linked pairs always meet; it is tested where
     members of a bucket are joined. ``order`` sorts the members of a large bucket by (mark, bucket) so that alike
     ones come together, in another way for each bucket. ``details`` takes nodes (node) of pairs that passed ``near``, each node
     once, and returns (node, t); ``check`` takes distinct pairs (a, b, t_a, t_b) and returns those (a, b) that belong together.
-    Without ``central`` the first pivots are any members, for buckets that say little about the likeness of their members.
+    ``spent`` are saved tables that only ``members`` is made of. Without ``central`` the first pivots are any members, for buckets that say little about the likeness of their members.
     """
     seen = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low < high")
     hold = saved(members.join(seen.select("bucket", "n"), "bucket"), "buckets")
+    for table in spent:
+        discard(table)
     tidy(hold.sparkSession)
     rows = hold.count()
     about = None
@@ -91,10 +94,16 @@ def link(members: DataFrame, near: Callable[[Column, Column], Column], details:
         more = saved(details(nodes if about is None else nodes.join(about.select("node"), "node", "left_anti")), "details")
         about = more if about is None else about.unionByName(more)
         a, b = (about.select(F.col("node").alias(c), F.col("t").alias(f"t_{c}")) for c in "ab")
-        links = saved(check(pairs.join(a, "a").join(b, "b")), "links")
+        # the details of many pairs are joined and checked in a few parts, so that one part's shuffle files go before the next
+        parts = min(PARTS, 1 + pairs.count() // PART_PAIRS)
+        mine = lambda df, i: df if parts == 1 else df.filter(F.pmod(F.xxhash64("a"), F.lit(parts)) == i)
+        out = None
+        for i in range(parts):
+            links = saved(check(mine(pairs, i).join(mine(a, i), "a").join(b, "b")), "links")
+            out = links if out is None else out.unionByName(links)
+            tidy(links.sparkSession)
         discard(pairs)
-        tidy(links.sparkSession)
-        return links
+        return out
 
     def both(left: DataFrame, right: DataFrame, other: Column) -> DataFrame:
         """Pairs of members of a bucket, the smaller node first."""
