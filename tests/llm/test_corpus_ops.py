@@ -494,14 +494,15 @@ def test_pipeline_stages_take_effect(spark):
     assert 0 < cp.run(spark, sf).count() < docs.count()
 
 
-def test_exact_dedup_oracle(spark):
+def test_queries_match_their_sql(spark):
     import duckdb
 
     from placerank.llm.queries import ORACLES, QUERIES
     from tools.check_oracles import norm_frame
 
     con = duckdb.connect()
-    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     for name, sql in ORACLES.items():
         assert norm_frame(QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()) == norm_frame(con.execute(sql).df())
 
