@@ -159,3 +159,13 @@ def test_top_n_bounds_ties_and_keeps_string_ids(spark):
                     "u2": ["b000", "b001", "b002", "b003"]}
     below = score.FactorModel(2.9999999996, users, items)      # 3.4999999996 does not reach 3.5
     assert score.recommend_top_n(below, rated, n=4).count() == 0
+
+
+def test_classified_only_takes_all_businesses(spark, monkeypatch):
+    from placerank.plans import catalog_misc
+    r = spark.createDataFrame([(f"r{i}", i % 3, i) for i in range(1, 22)], "review_id string, user_id long, business_id long")
+    b = spark.createDataFrame([(i, f"c{i % 2}") for i in range(1, 21)], "business_id long, city string")
+    monkeypatch.setattr(catalog_misc.fx, "reviews", lambda *_: r)
+    monkeypatch.setattr(catalog_misc.fx, "business", lambda *_: b)
+    got = {x.review_id for x in catalog_misc.p6_classified_only(spark, "").collect()}
+    assert got == {f"r{i}" for i in range(1, 21)}   # only the review of an unknown business has no label
