@@ -164,7 +164,7 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                    similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
+                    similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row -> (doc_id, key, class_id, group_id, group_size, kept).
 
     ``key`` is a hash of the text, ``class_id`` is the smallest id with the same word sequence, ``group_id`` the smallest id of the
@@ -174,8 +174,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Edge cases: words are runs of ASCII letters, digits and non-ASCII characters, A-Z as a-z. A text of
     one to four words is one shingle. Null, empty and wordless texts are no duplicates of anything: each
     forms a group of its own with its own id. A row with a null id is grouped, but never names a group
-    unless all its rows lack an id. ``exact`` compares all pairs of a band bucket that are not yet in one group, however
-    many; without it large buckets are searched by central texts and neighbours (see ``linking``). Rows that repeat
+    unless all its rows lack an id. Large band buckets are searched by central texts and neighbours first; what these leave in
+    different groups is compared pair by pair (see ``linking``). Rows that repeat
     an id with the same text are one document: each is marked kept or none. An empty table gives an empty
     result; other columns are ignored.
     """
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         turn = F.pmod(bucket, F.lit(64)).cast("int")
         return F.struct(F.call_function("shiftleft", mark["m1"], turn), F.call_function("shiftleft", mark["m2"], turn))
 
-    groups = link(classes.select(F.explode("bands").alias("bucket"), "node", "mark"), close, details, check, order, exact)
+    groups = link(classes.select(F.explode("bands").alias("bucket"), "node", "mark"), close, details, check, order)
     named = classes.join(groups, "node", "left").select("c1", "c2", "class_id", "n", F.coalesce("root", "node").alias("root"))
     total = named.groupBy("root").agg(F.min("class_id").alias("group_id"), F.sum("n").alias("group_size"))
     named = named.join(total, "root").select("c1", "c2", "class_id", "group_id", "group_size")

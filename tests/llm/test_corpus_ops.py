@@ -515,3 +515,15 @@ def test_entry_lists_queries_without_a_session():
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries())"], cwd=root,
                          capture_output=True, text=True, timeout=300)
     assert "op10_line_dedup" in out.stdout and "pipeline" in out.stdout, out.stderr[-500:]
+
+
+def test_links_of_a_large_bucket_are_all_found(spark, monkeypatch):
+    """400 members of one bucket, linked in twos that no order shows: pivots join next to nothing."""
+    from placerank.llm import linking
+    monkeypatch.setattr(linking, "BLOCK", 64)
+    members = spark.range(400).select(F.lit(7).cast("long").alias("bucket"), F.col("id").alias("node"), F.xxhash64("id").alias("mark"))
+    half = lambda c: F.floor(F.col(c) / 2)
+    groups = linking.link(linking.saved(members), lambda a, b: F.lit(True), lambda nodes: nodes.withColumn("t", F.col("node")),
+                          lambda pairs: pairs.filter(half("t_a") == half("t_b")).select("a", "b"), lambda mark, bucket: mark)
+    got = {(r.node, r.root) for r in groups.collect()}
+    assert got == {(i, i // 2 * 2) for i in range(400)}
