@@ -189,3 +189,59 @@ def test_fixture_models_have_the_references_size(spark):
         want = {r[key]: [float(r[c] or 0) for c in table.columns if c != key] for r in table.collect()}
         assert want and {r[key]: r["features"] for r in got.collect()} == want
     assert {"m14_compare_fitted_models", "a31_best_fitted_model_per_metric"} <= set(QUERIES)
+
+
+def test_vectors_are_never_broadcast(spark):
+    r = _planted(spark, 30, 20).withColumnRenamed("stars", "r")
+    uf, bf = _side_features(spark, 30, 20)
+    ex = blocks.Exchange(r)
+    w, kernel = np.zeros((1, 2, 2)), hybrid._HalfStep(2, ex.mu, [0.1], [0.1], [0.1], np.zeros((1, 2, 2)), np.zeros((1, 1, 2)))
+    items = bf.select(F.col("business_id").alias("id"), F.concat(F.array(F.lit(0.0), F.lit(1.0), F.lit(2.0)), "features").alias("v"))
+    users = uf.select(F.col("user_id").alias("id"), F.col("features").alias("v"))
+    out = ex._pass(ex.sides["user_id"], kernel, "all", items, users, w.shape[1])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    ex.close()
+
+
+def test_fits_leave_only_their_results(spark, tmp_path, monkeypatch):
+    """Tables of finished half steps are deleted: what stays does not grow with the epochs."""
+    from placerank.models import common
+    monkeypatch.setattr(common, "ensure_checkpoint_dir", lambda s: str(tmp_path))
+    r = _planted(spark, 30, 20)
+    left = []
+    for epochs in (2, 4):
+        hybrid.fit_hybrid(r, hybrid.HybridParams(n_factors=2, n_epochs=epochs, seed=1))
+        svdpp.fit_svdpp(r, svdpp.SvdppParams(n_factors=2, n_epochs=epochs))
+        baseline.fit_baseline(r, n_epochs=epochs, checkpoint_every=1)
+        left.append(len(list(tmp_path.iterdir())) - sum(left))
+    assert left[0] == left[1]
+
+
+def test_baseline_of_hot_ids_equals_plain_loops(spark, monkeypatch):
+    r = _planted(spark, 40, 30)
+    rows = r.toPandas()
+    mu = rows.stars.mean()
+    bu, bi = {u: 0.0 for u in rows.user_id}, {}
+    for _ in range(3):
+        for b, key, own, reg in ((bi, "business_id", bu, 10.0), (bu, "user_id", bi, 15.0)):
+            other = "user_id" if key == "business_id" else "business_id"
+            b.update({k: float((g.stars - mu - g[other].map(own)).sum() / (reg + len(g))) for k, g in rows.groupby(key)})
+    for hot in (10 ** 6, 15):      # with the second about half of the ids are spread over all parts
+        monkeypatch.setattr(baseline, "HOT_ROWS", hot)
+        m = baseline.fit_baseline(r, n_epochs=3)
+        assert np.allclose([bu[x.user_id] for x in m.users.collect()], [x.bias for x in m.users.collect()])
+        assert {x.business_id: round(x.bias, 9) for x in m.items.collect()} == {k: round(v, 9) for k, v in bi.items()}
+
+
+def test_users_meet_only_item_blocks_within_reach(spark):
+    rng = np.random.default_rng(4)
+    v, bias = rng.normal(size=(60, 3)) * 0.1, np.repeat([2.0, 0.5, 0.4, -3.0], 15)
+    u = rng.normal(size=(30, 3))
+    items = spark.createDataFrame(pd.DataFrame({"business_id": range(60), "i_bias": bias, "ivec": list(v), "ib": np.arange(60) // 15,
+                                                "norm": np.sqrt((v * v).sum(axis=1))}))
+    users = spark.createDataFrame(pd.DataFrame({"user_id": range(30), "u_bias": 0.1, "uvec": list(u), "floor": 3.65}))
+    s = 3.1 + bias[None] + u @ v.T
+    got = {x.user_id: set(x.wanted) for x in score._within_reach(users, items, 3.0).collect()}
+    for i in range(30):
+        need = {j // 15 for j in range(15, 60) if s[i, j] >= 3.65}
+        assert need <= got[i] and 3 not in got[i]
