@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from placerank.models import hybrid, svdpp
 from placerank.operators import metrics, score
-from placerank.plans.catalog_scoring import MODEL, train_test
+from placerank.plans.catalog_scoring import MODEL, split_rows
 from placerank.plans.registry import query, round_doubles, sql_round
 from placerank.sources.fixture_sql import ctes
 
@@ -21,7 +21,7 @@ W_U, W_I = 0.3, 0.2
 
 def _start(spark, d):
     """(train and test rows, keyword arguments of the fit)."""
-    tt = train_test(spark, d)
+    tt = split_rows(spark, d)
     ids = tt.filter(F.col("split") == "train")
     start = ids.select("business_id").distinct().withColumn(
         "factors", F.array(((F.col("business_id") * 31 + 7) % 200 - 100) / F.lit(100.0)))
@@ -177,7 +177,7 @@ def _svdpp_sql() -> str:
 @query("m11_svdpp_one_factor", sql_round(ctes("reviews", extra=MODEL + "," + _svdpp_sql())
                                          + " SELECT user_id, business_id, actual_rating, predicted_rating FROM test", ["predicted_rating"]))
 def m11_svdpp_one_factor(spark, d):
-    tt = train_test(spark, d)
+    tt = split_rows(spark, d)
     train = tt.filter(F.col("split") == "train")
     b = F.col("business_id")
     start = train.select("business_id").distinct().select(
