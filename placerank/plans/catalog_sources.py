@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from placerank.models import hybrid
+from placerank.models.common import materialize
 from placerank.operators import score
 from placerank.plans.catalog_scoring import M3_SQL, MODEL, MU, SCORE_SQL, fixture_model, train_test
 from placerank.plans.registry import query, round_doubles, sql_round
@@ -125,6 +126,7 @@ def s8_repeated_batches(spark, d):
     """A batch a year, each written twice: the repeated one replaces itself, so the result is the union once."""
     path = folder(spark, "batches")
     r = fx.reviews(spark, d).select("review_id", "user_id", "stars", F.year("date").alias("year"))
+    r = materialize(r)   # read for the years and for every batch
     years = sorted(x["year"] for x in r.select("year").distinct().collect())   # a handful of batch ids
     for year in years + years:
         io.append_batch(r.filter(F.col("year") == year).drop("year"), path, year)
@@ -144,8 +146,9 @@ def s9_jsonl_sink(spark, d):
     WHERE s.split = 'test'""", ["predicted_rating"]))
 def s10_bundle(spark, d):
     """A bundle of the model with its data, a first version with other biases; the newest version is loaded."""
-    path, m = folder(spark, "bundle"), fixture_model(spark, d)
-    tables = {"users": m.users, "items": m.items, "test": train_test(spark, d).filter(F.col("split") == "test")}
+    tt = materialize(train_test(spark, d))   # each table of both versions is made of it
+    path, m = folder(spark, "bundle"), fixture_model(spark, d, tt)
+    tables = {"users": m.users, "items": m.items, "test": tt.filter(F.col("split") == "test")}
     io.save_bundle(path, tables | {"users": m.users.withColumn("bias", F.lit(9.0))}, {"mu": m.mu})
     io.save_bundle(path, tables, {"mu": m.mu})
     manifest, t = io.load_bundle(spark, path)
