@@ -163,6 +163,39 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def alike_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``nodes (node, root, t)`` with different roots, among them all whose weighted Jaccard similarity reaches ``similarity``.
+
+    Prefix filter: two such texts differ in few units, so they share one of the first units of either in an order common to
+    all, rare units first. A unit that stands under one root only has no match in another text; a text with more of these
+    than it may differ in has no pair and goes, which may leave more such units. The first unit shared bounds how
+    many more can be. Texts under the root that most texts with a unit have are not joined with each other.
+    """
+    units = nodes.select("node", "root", F.size("t").alias("size"), F.explode("t").alias("s"))
+    miss = F.floor(F.col("size") * F.lit(1 - similarity) + 1e-6).cast("int")
+    left = None
+    while True:
+        shared = units.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
+        shared = few(saved(shared.filter("low < high").select("s", "m"), "shared-units"))
+        held = units.join(shared, "s").groupBy("node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("u"))
+        held = saved(held.withColumn("alone", F.col("size") - F.size("u")).filter(F.col("alone") <= miss), "held")
+        n = held.count()
+        if n == 0 or (left is not None and n > 0.9 * left):
+            break
+        left, units = n, held.select("node", "root", "size", F.explode("u.s").alias("s"))
+    first = held.select("node", "root", "size", "alone", F.posexplode(F.slice("u", F.lit(1), miss - F.col("alone") + 1)["s"]).alias("i", "s"))
+    first = saved(first.select("node", "root", "size", "s", (F.col("size") - F.col("alone") - F.col("i")).alias("rest")), "first-units")
+    most = first.groupBy("s", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("s").agg(
+        F.max_by("root", F.struct("m", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("s", "most")
+    first = first.join(most, "s")
+    x = first.filter("root <> most").select("s", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("rest").alias("la"))
+    y = first.select("s", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("rest").alias("lb"), "most")
+    once = (F.col("rb") == F.col("most")) | (F.col("a") < F.col("b"))
+    enough = F.least("la", "lb") >= (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - 1e-6
+    pairs = x.join(y, "s").filter((F.col("ra") != F.col("rb")) & once & enough)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row -> (doc_id, key, class_id, group_id, group_size, kept).
@@ -174,8 +207,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Edge cases: words are runs of ASCII letters, digits and non-ASCII characters, A-Z as a-z. A text of
     one to four words is one shingle. Null, empty and wordless texts are no duplicates of anything: each
     forms a group of its own with its own id. A row with a null id is grouped, but never names a group
-    unless all its rows lack an id. Large band buckets are searched by central texts and neighbours first; what these leave in
-    different groups is compared pair by pair (see ``linking``). Rows that repeat
+    unless all its rows lack an id. Large band buckets are searched by central texts first; of what these leave in
+    different groups all pairs that ``alike_pairs`` leaves are compared (see ``linking``). Rows that repeat
     an id with the same text are one document: each is marked kept or none. An empty table gives an empty
     result; other columns are ignored.
     """
@@ -202,7 +235,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         turn = F.pmod(bucket, F.lit(64)).cast("int")
         return F.struct(F.call_function("shiftleft", mark["m1"], turn), F.call_function("shiftleft", mark["m2"], turn))
 
-    groups = link(classes.select(F.explode("bands").alias("bucket"), "node", "mark"), close, details, check, order)
+    groups = link(classes.select(F.explode("bands").alias("bucket"), "node", "mark"), close, details, check, order,
+                  sieve=lambda nodes: alike_pairs(nodes, similarity))
     named = classes.join(groups, "node", "left").select("c1", "c2", "class_id", "n", F.coalesce("root", "node").alias("root"))
     total = named.groupBy("root").agg(F.min("class_id").alias("group_id"), F.sum("n").alias("group_size"))
     named = named.join(total, "root").select("c1", "c2", "class_id", "group_id", "group_size")

@@ -527,3 +527,53 @@ def test_links_of_a_large_bucket_are_all_found(spark, monkeypatch):
                           lambda pairs: pairs.filter(half("t_a") == half("t_b")).select("a", "b"), lambda mark, bucket: mark)
     got = {(r.node, r.root) for r in groups.collect()}
     assert got == {(i, i // 2 * 2) for i in range(400)}
+
+
+def test_near_copies_just_under_the_similarity_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """300 copies of a text with a word of their own each, most pairs of which lie just under 0.8, and some linked ones."""
+    from placerank.llm import linking, near_dedup
+
+    rng = random.Random(9)
+    words, texts = prose(rng, 40).split(), []
+    for i in range(300):
+        w = list(words)
+        w[rng.randrange(len(w))] = f"z{i}"
+        texts.append(" ".join(w))
+    grams = [{tuple(t.split()[i:i + 5]) for i in range(36)} for t in texts]
+    root = list(range(300))
+    for b in range(300):
+        for a in range(b):
+            if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    compared = []
+
+    def saved(df, label="step"):
+        out = near_dedup.saved(df, label)
+        if label == "pairs":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(linking, "saved", saved)
+    out = got(near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {r["doc_id"]: r["group_id"] for r in out} == dict(enumerate(root))
+    assert len(set(root)) > 100 and sum(compared) < 300 * 299 / 2 / 5
+
+
+def test_alike_pairs_match_brute_force(spark):
+    from placerank.llm.near_dedup import alike_pairs
+
+    rng = random.Random(5)
+    base = [rng.sample(range(400), rng.randrange(5, 60)) for _ in range(12)]
+    data = []
+    for node in range(240):
+        t = set(base[node % 12])
+        for _ in range(rng.randrange(0, 6)):
+            t.discard(rng.choice(base[node % 12]))
+            t.add(rng.randrange(400))
+        data.append((node, node - node % 2 if node % 5 else 1000 + node % 7, sorted(t)))
+    want = {(a, b) for a, ra, ta in data for b, rb, tb in data if a < b and ra != rb
+            and len(set(ta) & set(tb)) >= 0.8 * len(set(ta) | set(tb))}
+    found = {(r.a, r.b) for r in alike_pairs(spark.createDataFrame(data, "node long, root long, t array<long>"), 0.8).collect()}
+    different = sum(a < b and ra != rb for a, ra, _ in data for b, rb, _ in data)
+    assert want and want <= found and all(a < b for a, b in found) and len(found) < different / 4
