@@ -577,3 +577,36 @@ def test_alike_pairs_match_brute_force(spark):
     found = {(r.a, r.b) for r in alike_pairs(spark.createDataFrame(data, "node long, root long, t array<long>"), 0.8).collect()}
     different = sum(a < b and ra != rb for a, ra, _ in data for b, rb, _ in data)
     assert want and want <= found and all(a < b for a, b in found) and len(found) < different / 4
+
+
+def test_line_links_are_found_in_slices_of_the_buckets(spark, monkeypatch):
+    """With many buckets only a slice of their members is dealt at a time; the groups stay the same."""
+    from placerank.llm import line_dedup, linking
+
+    rng = random.Random(11)
+    lines = [prose(rng, rng.choice((6, 12, 30))) for _ in range(60)]
+    data = []
+    for i in range(80):
+        some = [rng.choice(lines).split() for _ in range(4)]
+        for w in some[::2]:
+            w[rng.randrange(len(w))] = f"z{i}"
+        data.append((i, "\n".join(" ".join(w) for w in some)))
+    docs, sizes = spark.createDataFrame(data, "doc_id long, text string"), []
+
+    def saved(df, label="step"):
+        out = line_dedup.saved(df, label)
+        if label in ("buckets", "details"):
+            sizes.append((label, out.count()))
+        return out
+
+    gone = lambda: {tuple(r) for r in line_dedup.duplicate_lines(docs, max_bits=None).collect()}
+    monkeypatch.setattr(linking, "saved", saved)
+    want = gone()
+    whole = dict(sizes[:1])["buckets"]
+    sizes.clear()
+    monkeypatch.setattr(linking, "SLICE_ROWS", 100)
+    monkeypatch.setattr(linking, "BROADCAST_ROWS", 20)
+    assert want and gone() == want
+    parts = [n for label, n in sizes if label == "buckets"]
+    assert len(parts) > 2 and sum(parts) == whole and max(parts) < whole / 2
+    assert sum(label == "details" for label, _ in sizes) > 3
