@@ -610,3 +610,34 @@ def test_line_links_are_found_in_slices_of_the_buckets(spark, monkeypatch):
     parts = [n for label, n in sizes if label == "buckets"]
     assert len(parts) > 2 and sum(parts) == whole and max(parts) < whole / 2
     assert sum(label == "details" for label, _ in sizes) > 3
+
+
+def test_line_sketches_lose_no_pair_and_leave_few_strangers(spark, monkeypatch):
+    """Lines near by words pass both sketches, also where buckets are cut into blocks; lines of other words repeated do not."""
+    from placerank.llm import line_dedup, linking
+
+    rng = random.Random(12)
+    vocab, lines, near = [f"w{i}" for i in range(60)], [], set()
+    for n in [8, 20, 40, 70] * 6 + [150] * 24:
+        w = [rng.choice(vocab) for _ in range(n)] if n < 150 else rng.sample(vocab, 12) * 13
+        v = list(w)
+        for i in sorted(rng.sample(range(len(w)), len(w) // 5), reverse=True):
+            if rng.random() < 0.6:
+                v[i] = f"x{rng.randrange(10 ** 9)}"
+            else:
+                del v[i]
+        near.add(len(lines) + 1)
+        lines += [" ".join(w), " ".join(v)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    monkeypatch.setattr(linking, "BLOCK", 4)
+    pairs = []
+
+    def saved(df, label="step"):
+        out = line_dedup.saved(df, label)
+        if label == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(linking, "saved", saved)
+    gone = {r["doc_id"] for r in line_dedup.duplicate_lines(docs, max_bits=None).collect()}
+    assert gone == near and sum(pairs) < 3 * len(near)
