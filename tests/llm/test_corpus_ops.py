@@ -641,3 +641,37 @@ def test_line_sketches_lose_no_pair_and_leave_few_strangers(spark, monkeypatch):
     monkeypatch.setattr(linking, "saved", saved)
     gone = {r["doc_id"] for r in line_dedup.duplicate_lines(docs, max_bits=None).collect()}
     assert gone == near and sum(pairs) < 3 * len(near)
+
+
+def test_members_of_link_lists_that_met_a_near_one_are_paired_once(spark, monkeypatch):
+    """Twelve buckets hold 40 lines of one group and 20 that pass the cheap condition but are linked to none: each such pair once."""
+    from placerank.llm import linking
+
+    buckets = list(range(12))
+    nodes = spark.createDataFrame([(i, buckets, None) for i in range(60)], "node long, buckets array<long>, extra int")
+    joined = []
+
+    def saved(df, label="step"):
+        out = linking_saved(df, label)
+        if label == "slice-pairs":
+            # the pairs as the join makes them, before the same ones of several buckets are put together
+            joined.append((made.pop(), out.count()))
+        return out
+
+    linking_saved, made, frame = linking.saved, [], type(nodes)
+    distinct = frame.distinct
+
+    def counted(df):
+        if df.columns == ["a", "b"]:
+            made.append(df.count())
+        return distinct(df)
+
+    monkeypatch.setattr(linking, "saved", saved)
+    monkeypatch.setattr(frame, "distinct", counted)
+    groups = linking.link_lists(
+        linking_saved(nodes), lambda a, b: F.lit(True), lambda of: of.withColumn("t", F.col("node")),
+        lambda pairs: pairs.filter((F.col("t_a") < 40) & (F.col("t_b") < 40)).select("a", "b"), "extra", lambda a, b: F.lit(True))
+    got = {(r.node, r.root) for r in groups.collect()}
+    assert got == {(i, 0) for i in range(40)}
+    rows, pairs = joined[-1]
+    assert rows == pairs >= 40 * 20 + 20 * 19 / 2
