@@ -480,6 +480,40 @@ def test_line_dedup_recall_by_edit_similarity_alone(spark, tmp_path):
     assert dropped == set(near)
 
 
+def test_long_lines_whose_rare_words_are_replaced_are_near(spark):
+    """Of the 21 rarest words of a line only one may be left in the other: all of them are buckets."""
+    from placerank.llm.line_dedup import dedup_lines
+
+    rng = random.Random(14)
+    common, lines = [f"c{i}" for i in range(600)], []
+    for p in range(30):
+        w = rng.sample(common, 79) + [f"r{p}n{i}" for i in range(21)]
+        rng.shuffle(w)
+        gone = {f"r{p}n{i}" for i in range(20)}
+        lines += [" ".join(w), " ".join(f"q{x}" if x in gone else x for x in w)]
+    lines += [" ".join(rng.sample(common, 80)) for _ in range(60)]
+    out = got(dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), max_bits=None))
+    assert {r["doc_id"] for r in out if r["n_dropped"]} == set(range(1, 60, 2))
+
+
+def test_lines_of_the_queries_meet_in_blocks_of_fingerprints_too(spark, monkeypatch):
+    """Without any rare words the query's way finds what the blocks of fingerprints find."""
+    from placerank.llm import line_dedup as ld
+
+    rng, lines = random.Random(15), []
+    for _ in range(40):
+        w = prose(rng, 60).split()
+        lines.append(" ".join(w))
+        for i in rng.sample(range(60), 3):
+            lines.append(" ".join([*w[:i], "other", *w[i + 1:]]))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = lambda bits: {tuple(r) for r in ld.duplicate_lines(docs, max_bits=bits).collect()}
+    want, whole = gone(ld.MAX_BITS), gone(None)
+    real = ld._rare_words
+    monkeypatch.setattr(ld, "_rare_words", lambda *a: real(*a).withColumn("buckets", F.array().cast("array<bigint>")))
+    assert want and gone(None) == want < whole == {(i, k, 0) for i, k, _ in whole} and len(whole) == 120
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline as cp
 
